@@ -9,6 +9,7 @@ from antecede.checks.base import define, rounded, with_
 from antecede.functions import scores as S
 from antecede.operators import actors as A, precedence as P, typepairs as T
 from antecede.plans import controls as K2, score_causes as K1
+from antecede.session import checkpointed
 from antecede.sources.stand_ins import event_view
 
 define("daily", """
@@ -121,12 +122,17 @@ def served(spark, folder):
     return P.low_in_degree(event_view(spark, folder))
 
 
+def stored(spark, folder):
+    """The served table written once, for jobs that read it several times."""
+    return checkpointed(served(spark, folder))
+
+
 def targets_of(events):
     return events.filter("precursor_ids <> '' AND EventRootCode <> ''")
 
 
 def best_of(spark, folder):
-    events = served(spark, folder)
+    events = stored(spark, folder)
     return K1.score_targets(events, targets_of(events))
 
 
@@ -169,14 +175,14 @@ def candidate_groups(spark, folder):
 @check("d13_token_idf", with_("idf", """
     SELECT t AS token, df, round(share, 9) AS share, round(idf, 9) AS idf FROM idf"""))
 def token_idf(spark, folder):
-    return rounded(K1.token_tables(served(spark, folder))[0])
+    return rounded(K1.token_tables(stored(spark, folder))[0])
 
 
 @check("f5_rarest_probes", with_("probe tgt", """
     SELECT DISTINCT Actor1Name, Actor2Name, t AS token, round(w, 9) AS weight
     FROM probe JOIN tgt USING (id)"""))
 def rarest_probes(spark, folder):
-    events = served(spark, folder)
+    events = stored(spark, folder)
     stats, _, _ = K1.token_tables(events)
     probes = A.pair_probes(A.actor_pairs(targets_of(events)), stats)
     return rounded(probes.select("Actor1Name", "Actor2Name", F.inline("probes")))
@@ -185,9 +191,9 @@ def rarest_probes(spark, folder):
 @check("d14_token_hits", with_("hits", """
     SELECT cc, strftime(c_date, '%Y-%m-%d') AS c_date, c_rc, t AS token, h AS hits FROM hits"""))
 def token_hits(spark, folder):
-    events = served(spark, folder)
-    _, matches, _ = K1.token_tables(events)
-    return K1.group_hits(events, matches).withColumn("c_date", F.col("c_date").cast("string"))
+    events = stored(spark, folder)
+    stats, matches, _ = K1.token_tables(events)
+    return K1.group_hits(events, matches, A.usable(stats).select("token")).withColumn("c_date", F.col("c_date").cast("string"))
 
 
 @check("c8_documented_groups", with_("doc", """
@@ -247,7 +253,7 @@ def trace_and_reasons(spark, folder):
 
 
 def arms_of(spark, folder):
-    events = served(spark, folder)
+    events = stored(spark, folder)
     targets = targets_of(events)
     windows = K2.control_windows(targets, "2024-01-08", "2024-01-29", near=8, far=20)
     return K2.scored_arms(events, targets, windows)

@@ -11,22 +11,28 @@ from antecede.functions.codes import (
 )
 from antecede.functions.rounding import steady_round
 
-ONE, ZERO = F.lit(1.0), F.lit(0.0)
+
+def one() -> Column:
+    return F.lit(1.0)
+
+
+def zero() -> Column:
+    return F.lit(0.0)
 
 
 def corroboration(domains: Column) -> Column:
     """Log scale: FULL_OUTLETS distinct outlets is full marks."""
-    return F.least(F.log1p(domains) / F.lit(log1p(FULL_OUTLETS)), ONE)
+    return F.least(F.log1p(domains) / F.lit(log1p(FULL_OUTLETS)), one())
 
 
 def prior(lift: Column) -> Column:
     """Lift 1 is no pattern, 8 is a full one."""
-    return F.least(F.greatest((F.coalesce(lift, ZERO) - 1.0) / 7.0, ZERO), ONE)
+    return F.least(F.greatest((F.coalesce(lift, zero()) - 1.0) / 7.0, zero()), one())
 
 
 def contrastive(sufficiency: Column, necessity: Column) -> Column:
-    suff, nec = F.coalesce(sufficiency, ZERO), F.coalesce(necessity, ZERO)
-    return F.least(0.75 * F.greatest(suff, ZERO) + 0.25 * nec, ONE)
+    suff, nec = F.coalesce(sufficiency, zero()), F.coalesce(necessity, zero())
+    return F.least(0.75 * F.greatest(suff, zero()) + 0.25 * nec, one())
 
 
 def logistic(z: Column) -> Column:
@@ -47,7 +53,7 @@ def terms(channels: dict[str, Column]) -> Column:
     return F.array(*[
         F.struct(
             F.lit(name).alias("key"), F.lit(weight).alias("weight"),
-            steady_round(F.lit(weight) * channels.get(name, ZERO), 3).alias("contribution"),
+            steady_round(F.lit(weight) * channels.get(name, zero()), 3).alias("contribution"),
             F.lit(name in channels).alias("available"),
         )
         for name, weight in CHANNEL_WEIGHTS.items()
@@ -69,7 +75,7 @@ def grade(documented: Column, corroborated: Column, prior_: Column, contrast: Co
     return (
         F.when((documented >= 0.5) & (corroborated >= 0.5), "confirmed")
         .when(documented >= 0.5, "reported")
-        .when((pattern >= 0.45) & (F.coalesce(sufficiency, ZERO) >= 0.30), "pattern")
+        .when((pattern >= 0.45) & (F.coalesce(sufficiency, zero()) >= 0.30), "pattern")
         .when(confidence >= CONFIDENCE_FLOOR, "weak")
         .otherwise("dropped")
     )
@@ -103,16 +109,16 @@ def trace() -> Column:
         entry(
             "prior",
             F.format_string("A busy %s day makes a busy %s day %.1f times as likely.",
-                            cause, effect, F.coalesce("lift", ZERO)),
-            F.format_string("(lift %.3f - 1) / 7", F.coalesce("lift", ZERO)),
+                            cause, effect, F.coalesce("lift", zero())),
+            F.format_string("(lift %.3f - 1) / 7", F.coalesce("lift", zero())),
         ),
         entry(
             "contrastive",
             F.format_string("%.0f%% of busy %s days led to a busy %s day; %.0f%% of those had one before.",
-                            100 * F.coalesce("sufficiency", ZERO), cause, effect,
-                            100 * F.coalesce("necessity", ZERO)),
-            F.format_string("0.75 x %.3f + 0.25 x %.3f", F.coalesce("sufficiency", ZERO),
-                            F.coalesce("necessity", ZERO)),
+                            100 * F.coalesce("sufficiency", zero()), cause, effect,
+                            100 * F.coalesce("necessity", zero())),
+            F.format_string("0.75 x %.3f + 0.25 x %.3f", F.coalesce("sufficiency", zero()),
+                            F.coalesce("necessity", zero())),
         ),
         entry(
             "actors",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from antecede.functions.codes import CONFLICT_QUADS
 from antecede.functions.dates import month_label, month_of_day
@@ -10,8 +10,13 @@ from antecede.operators.events import (
     actor_condition, country_condition, quad_condition,
 )
 
-CONFLICT = F.col("QuadClass").isin(*CONFLICT_QUADS)
-BOTH_ACTORS = (F.col("Actor1CountryCode") != "") & (F.col("Actor2CountryCode") != "")
+
+def is_conflict() -> Column:
+    return F.col("QuadClass").isin(*CONFLICT_QUADS)
+
+
+def both_actors() -> Column:
+    return (F.col("Actor1CountryCode") != "") & (F.col("Actor2CountryCode") != "")
 
 
 def overall(events: DataFrame) -> DataFrame:
@@ -26,7 +31,7 @@ def country_nodes(events: DataFrame) -> DataFrame:
     return events.groupBy(F.col("ActionGeo_CountryCode").alias("cc")).agg(
         F.count("*").alias("n"),
         F.avg("GoldsteinScale").alias("avg_g"),
-        F.count_if(CONFLICT).alias("n_conflict"),
+        F.count_if(is_conflict()).alias("n_conflict"),
     ).withColumn("conflict_ratio", F.col("n_conflict") / F.greatest("n", F.lit(1)))
 
 
@@ -35,7 +40,7 @@ def country_pairs(events: DataFrame, min_events: int = 5) -> DataFrame:
     (quad class, root code) and two mean Goldstein values: the unweighted mean of the
     group means, and the mean over events."""
     pair = ["c1", "c2"]
-    groups = events.filter(BOTH_ACTORS).groupBy(
+    groups = events.filter(both_actors()).groupBy(
         F.col("Actor1CountryCode").alias("c1"), F.col("Actor2CountryCode").alias("c2"),
         F.col("QuadClass").alias("q"), F.col("EventRootCode").alias("rc"),
     ).agg(F.count("*").alias("n"), F.avg("GoldsteinScale").alias("avg_g"))
@@ -58,7 +63,7 @@ def edge_stats(events: DataFrame) -> DataFrame:
     return events.groupBy("Actor1CountryCode", "EventRootCode").agg(
         F.count("*").alias("total"), F.avg("GoldsteinScale").alias("avg_goldstein"),
         F.min("day").alias("first_day"), F.max("day").alias("last_day"),
-        share(CONFLICT).alias("conflict_pct"),
+        share(is_conflict()).alias("conflict_pct"),
         share(F.col("causal_in_degree") > 0).alias("causal_pct"),
     )
 
@@ -110,7 +115,7 @@ def country_profiles(events: DataFrame, country: str = "") -> DataFrame:
 
 
 def interaction_matrix(events: DataFrame) -> DataFrame:
-    return events.filter(BOTH_ACTORS).groupBy(
+    return events.filter(both_actors()).groupBy(
         F.col("Actor1CountryCode").alias("c1"), F.col("Actor2CountryCode").alias("c2")
     ).agg(F.count("*").alias("n"), F.avg("GoldsteinScale").alias("avg_g"))
 

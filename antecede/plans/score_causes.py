@@ -35,23 +35,23 @@ def candidate_groups(events: DataFrame) -> DataFrame:
         (F.sum("g") / F.sum("g_n")).alias("avg_goldstein"), F.min("rep").alias("rep_id"))
 
 
-def group_hits(events: DataFrame, matches: DataFrame) -> DataFrame:
-    """How many events of each group name each usable token."""
+def group_hits(events: DataFrame, matches: DataFrame, tokens: DataFrame) -> DataFrame:
+    """How many events of each group name each of the ``tokens``."""
     counts = events.groupBy(
         F.col(PLACE).alias("cc"), F.col(DATE).alias("c_date"), padded_root(F.col(ROOT)).alias("c_rc"),
         "Actor1Name", "Actor2Name").agg(F.count("*").alias("k"))
     return A.with_matches(counts, matches).select(
         "cc", "c_date", "c_rc", F.explode("matched").alias("token"), "k"
-    ).groupBy("cc", "c_date", "c_rc", "token").agg(F.sum("k").alias("hits"))
+    ).groupBy("cc", "c_date", "c_rc", "token").agg(F.sum("k").alias("hits")).join(tokens, "token")
 
 
 def token_tables(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Token statistics, matches restricted to usable tokens, and probes per actor pair."""
+    """Token statistics, tokens matched per name, and probes per actor pair."""
     pairs = A.actor_pairs(events)
     names = A.distinct_names(pairs)
     tokens = names.select(F.explode(A.name_tokens(F.col("name"))).alias("token")).distinct()
-    stats = A.token_stats(pairs, A.name_matches(names, tokens), tokens)
-    matches = A.name_matches(names, A.usable(stats).select("token"))
+    matches = A.name_matches(names, tokens)
+    stats = A.token_stats(pairs, matches, tokens)
     return stats, matches, A.pair_probes(pairs, stats)
 
 
@@ -81,9 +81,11 @@ def target_windows(targets: DataFrame, arm: str = "real", first: Column | None =
 def score_windows(events: DataFrame, windows: DataFrame, documented: DataFrame) -> DataFrame:
     """Every scored candidate group of every window.
 
-    ``documented`` is keyed by (target_id, arm, c_date, c_rc)."""
+    ``documented`` is keyed by (target_id, arm, c_date, c_rc). ``events`` is read several
+    times, so pass a stored table rather than a long plan."""
     key = ["target_id", "arm", "cc", "target_root", "t_date", "c_date", "c_rc"]
-    _, matches, probes = token_tables(events)
+    token_table, matches, probes = token_tables(events)
+    usable = A.usable(token_table).select("token")
     groups = candidate_groups(events).filter(F.col("event_count") >= MIN_GROUP_EVENTS)
     stats = ["event_count", "domains", "avg_goldstein", "rep_id"]
 
@@ -97,7 +99,7 @@ def score_windows(events: DataFrame, windows: DataFrame, documented: DataFrame)
     ).withColumn("c_date", F.explode(F.sequence("first_date", "last_date"))).withColumns(
         {"token": F.col("p.token"), "weight": F.col("p.weight")})
     null = lambda name: F.lit(None).cast(groups.schema[name].dataType).alias(name)
-    hits = probed.join(group_hits(events, matches), ["cc", "c_date", "token"]).select(
+    hits = probed.join(group_hits(events, matches, usable), ["cc", "c_date", "token"]).select(
         *key, *[null(s) for s in stats], (F.col("weight") * F.col("hits")).alias("hit"),
         F.lit(0.0).alias("doc"))
     linked = windows.join(documented, ["target_id", "arm"]).filter(
@@ -119,7 +121,7 @@ def with_scores(rows: DataFrame) -> DataFrame:
         "corroboration": S.corroboration(F.col("domains")),
         "prior": S.prior(F.col("lift")),
         "contrastive": S.contrastive(F.col("sufficiency"), F.col("necessity")),
-        "actors": F.least(F.col("hit") / F.col("event_count"), S.ONE),
+        "actors": F.least(F.col("hit") / F.col("event_count"), S.one()),
     }
     shown = {name: steady_round(value, 3) for name, value in raw.items()}
     z = S.fused(shown)
