@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from antecede.functions.dates import day_of_date
+from antecede.functions.urls import hostname, normalize_url, outcome_class
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,3 +49,27 @@ def event_view(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("https://src"), text(F.col("event_id") % 20), F.lit(".example/a/"),
                  text(F.col("event_id"))).alias("SOURCEURL"),
     )
+
+
+def status_log(spark: SparkSession, folder: str) -> DataFrame:
+    """A fetch status for every page; one residue has none, as after a timeout."""
+    known = {0: 404, 1: 403, 2: 429, 3: 503, 4: 410, 6: 301, 7: 418}
+    residue = F.col("page_id") % 13
+    status = F.when(residue == 5, F.lit(None).cast("int"))
+    for key, value in known.items():
+        status = status.when(residue == key, value)
+    return table(spark, folder, "pages").select("page_id", "url", status.otherwise(200).alias("status"))
+
+
+def page_view(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as article documents with a fetch outcome."""
+    outcome = outcome_class(F.col("status"))
+    html = table(spark, folder, "pages").select("page_id", "html")
+    return status_log(spark, folder).join(html, "page_id").select(
+        F.col("page_id").alias("document_id"), normalize_url(F.col("url")).alias("url_key"),
+        hostname(F.col("url")).alias("host"),
+        F.when(outcome == "fetched", "extracted").otherwise(outcome).alias("status"),
+        F.length("html").alias("text_length"),
+        F.contains(F.lower("html"), F.lit("</html>")).alias("complete_html"),
+        F.contains(F.lower("html"), F.lit("noarchive")).alias("paywalled"),
+    )
