@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from antecede.checks import check
 from antecede.checks.base import define, rounded, with_
 from antecede.functions import quality as T, words as W
-from antecede.operators import articles as A
+from antecede.operators import articles as A, similarity as S
+from antecede.plans.splits import assign_splits, scope_observations
 from antecede.sources.stand_ins import event_view, table
 
 
@@ -168,3 +169,123 @@ def publication_dates(spark, folder):
     return event_view(spark, folder).select(
         "GlobalEventID", F.coalesce(kept.cast("string"), F.lit("")).alias("kept"),
         F.coalesce(reason, F.lit("")).alias("reason"))
+
+
+define("grams", r"""
+    SELECT DISTINCT doc_id, s FROM (
+        SELECT doc_id, i, n, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o,
+                                       lead(w, 3) OVER o, lead(w, 4) OVER o) AS s
+        FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n
+              FROM (SELECT doc_id, regexp_split_to_array(trim(text), '\s+') AS ws FROM documents))
+        WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE i <= n - 4""")
+define("gramcounts", "SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id", "grams")
+define("duppairs", """
+    SELECT p.a, p.b FROM (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k
+        FROM grams x JOIN grams y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL) p
+    JOIN gramcounts m ON m.doc_id = p.a JOIN gramcounts n ON n.doc_id = p.b
+    WHERE k / (m.n + n.n - k) >= 0.8""", "grams", "gramcounts")
+define("alllinks", """
+    SELECT a, b FROM duppairs
+    UNION SELECT min(doc_id) OVER (PARTITION BY sha256(text)), doc_id FROM documents
+          WHERE trim(text) <> ''""", "duppairs")
+REACH = """reach(node, member) AS (
+        SELECT doc_id, doc_id FROM documents
+        UNION SELECT r.node, CASE WHEN l.a = r.member THEN l.b ELSE l.a END
+        FROM reach r JOIN alllinks l ON l.a = r.member OR l.b = r.member)"""
+
+
+def documents(spark, folder):
+    return table(spark, folder, "documents").withColumn(
+        "text_hash", F.when(F.trim("text") != "", F.sha2("text", 256)))
+
+
+@check("i1_near_duplicate_groups", with_("alllinks", """
+    SELECT node AS doc_id, min(member) AS component FROM reach GROUP BY node""", REACH))
+def near_duplicate_groups(spark, folder):
+    """Near-duplicate links and J1 components."""
+    return S.duplicate_groups(documents(spark, folder), "doc_id", "text", ["text_hash"])
+
+
+@check("k7_e15_splits", with_("alllinks", """
+    , comp AS (SELECT node AS doc_id, min(member) AS component FROM reach GROUP BY node),
+    piloted AS (SELECT DISTINCT component FROM comp WHERE doc_id IN (
+        SELECT doc_id FROM labels WHERE quality = 0 AND toxic = 1)),
+    grp AS (SELECT component, count(*) AS n FROM comp
+            WHERE component NOT IN (SELECT component FROM piloted) GROUP BY component),
+    run AS (SELECT *, sum(n) OVER (ORDER BY sha256('splits:' || component)) - n AS before FROM grp),
+    tot AS (SELECT round_even(sum(n) * 0.2, 0) AS test, round_even(sum(n) * 0.15, 0) AS dev FROM grp),
+    fin AS (SELECT coalesce(max(before + n), 0) AS test_end FROM run, tot WHERE before < test)
+    SELECT c.doc_id, c.component,
+           CASE WHEN r.component IS NULL THEN 'pilot' WHEN before < test THEN 'test'
+                WHEN before - test_end < dev THEN 'dev' ELSE 'train' END AS split
+    FROM comp c LEFT JOIN run r USING (component), tot, fin""", REACH))
+def splits(spark, folder):
+    pilot = table(spark, folder, "labels").filter("quality = 0 AND toxic = 1")
+    return assign_splits(documents(spark, folder), "doc_id", "text", ["text_hash"], pilot,
+                         "splits", 0.2, 0.15)
+
+
+@check("g4_scope_observations", with_("ev", """
+    SELECT url_key, count(*) AS n, min(GlobalEventID) AS first_id FROM (
+        SELECT DISTINCT GlobalEventID, day, EventCode, EventRootCode, ActionGeo_CountryCode,
+               SOURCEURL AS url_key FROM ev
+        WHERE EventRootCode IN ('14', '18') AND ActionGeo_CountryCode = 'G4'
+          AND day BETWEEN 20240101 AND 20241231)
+    GROUP BY url_key"""))
+def scope_observations_(spark, folder):
+    seen = scope_observations(event_view(spark, folder), ["14", "18"], "G4", 20240101, 20241231)
+    return seen.groupBy("url_key").agg(
+        F.count("*").alias("n"), F.min("GlobalEventID").alias("first_id"))
+
+
+@check("i2_bm25_scores", f"""
+    WITH t AS (SELECT doc_id AS node, list_transform(list_filter(
+                   regexp_extract_all(lower(text), '[a-z0-9]+'),
+                   lambda x: length(x) > 2 AND x NOT IN ('{STOP}')),
+                   lambda x: CASE WHEN length(x) > 4 AND x LIKE '%s' THEN x[:-2] ELSE x END) AS ts
+               FROM documents),
+    q AS (SELECT DISTINCT item_id AS question_id, unnest(list_transform(list_filter(
+              regexp_extract_all(lower(text), '[a-z0-9]+'),
+              lambda x: length(x) > 2 AND x NOT IN ('{STOP}')),
+              lambda x: CASE WHEN length(x) > 4 AND x LIKE '%s' THEN x[:-2] ELSE x END)) AS term
+          FROM benchmark),
+    post AS (SELECT node, len(ts) AS dl, term, count(*) AS tf
+             FROM (SELECT node, ts, unnest(ts) AS term FROM t) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+    s AS (SELECT count(*) AS n, avg(len(ts)) AS al FROM t)
+    SELECT question_id, node, score FROM (
+        SELECT question_id, node, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
+                   / (tf + 1.2 * (0.25 + 0.75 * dl / al))), 6) AS score
+        FROM q JOIN post USING (term) JOIN df USING (term), s GROUP BY ALL) WHERE score > 0""")
+def bm25(spark, folder):
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("node"), "text")
+    questions = table(spark, folder, "benchmark").select(
+        F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return S.bm25_scores(docs, questions)
+
+
+@check("i3_max_cosine", """
+    WITH v AS (SELECT vec_id // 10 AS owner, embedding AS e FROM embeddings),
+    p AS (SELECT DISTINCT a.owner AS a, b.owner AS b FROM v a JOIN v b ON b.owner IN (a.owner + 1, a.owner + 2))
+    SELECT p.a, p.b, round(max(list_dot_product(CAST(x.e AS DOUBLE[]), CAST(y.e AS DOUBLE[]))), 6) AS similarity
+    FROM p JOIN v x ON x.owner = p.a JOIN v y ON y.owner = p.b GROUP BY p.a, p.b""")
+def max_cosine(spark, folder):
+    vectors = table(spark, folder, "embeddings").select(
+        F.floor(F.col("vec_id") / 10).alias("owner"), F.col("embedding").alias("vector"))
+    owners = vectors.select("owner").distinct()
+    ahead = owners.select(F.col("owner").alias("a"), F.explode(
+        F.array(F.col("owner") + 1, F.col("owner") + 2)).alias("b"))
+    pairs = ahead.join(owners.withColumnRenamed("owner", "b"), "b", "left_semi")
+    return rounded(S.max_cosine(pairs, vectors), 6)
+
+
+@check("i4_cosine_pairs", """
+    SELECT a.label AS block, a.vec_id AS a, b.vec_id AS b,
+           round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity
+    FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
+    WHERE list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.45""")
+def cosine_pairs(spark, folder):
+    vectors = table(spark, folder, "embeddings").select(
+        F.col("label").alias("block"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return rounded(S.cosine_pairs(vectors, 0.45), 6)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from antecede.functions import quality as T
 
@@ -75,7 +76,7 @@ def text_quality(articles: DataFrame, short_words: int = 120) -> DataFrame:
     return articles.withColumns({"quality": quality, "flags": flags, "word_count": words})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Replace character entities, which no built-in function does."""
     for batch in values:
