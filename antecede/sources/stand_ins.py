@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from antecede.functions.codes import EVIDENCE_QUALITIES, REJECT_REASONS, RELATIONS
 from antecede.functions.dates import day_of_date
+from antecede.functions.ids import claim_key
 from antecede.functions.urls import hostname, normalize_url, outcome_class
 
 
@@ -73,3 +75,44 @@ def page_view(spark: SparkSession, folder: str) -> DataFrame:
         F.contains(F.lower("html"), F.lit("</html>")).alias("complete_html"),
         F.contains(F.lower("html"), F.lit("noarchive")).alias("paywalled"),
     )
+
+
+def claim_view(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidate cause claims: every event with three earlier events, at 0.9, 0.7 and 0.4 of
+    its id. Ids rise with time, so no cause is later than its effect."""
+    events = event_view(spark, folder).select("GlobalEventID", "EventRootCode", "event_date")
+    e = F.col("GlobalEventID")
+    pairs = events.select(
+        e.alias("effect_id"), F.col("EventRootCode").alias("effect_type"),
+        F.col("event_date").alias("effect_date"),
+        F.posexplode(F.array(*[F.floor(e * k / 10) for k in (9, 7, 4)])).alias("pos", "cause_id"),
+    ).filter("cause_id < effect_id").groupBy("effect_id", "effect_type", "effect_date", "cause_id").agg(
+        (F.min("pos") + 1).alias("expansion_level"))
+    causes = events.select(
+        F.col("GlobalEventID").alias("cause_id"), F.col("EventRootCode").alias("cause_type"),
+        F.col("event_date").alias("cause_date"))
+    e, c = F.col("effect_id"), F.col("cause_id")
+    strength = (e * 31 + c * 17) % 97
+    return pairs.join(causes, "cause_id").withColumns({
+        "claim_id": claim_key(e, c),
+        "lag_days": F.datediff("effect_date", "cause_date"),
+        "machine_strength": F.when(strength > 0, strength / 96.0),
+    })
+
+
+def judgement_view(claims: DataFrame, role: str = "primary") -> DataFrame:
+    """A judgement of every claim; the second reader differs on some."""
+    e, c = F.col("effect_id"), F.col("cause_id")
+    flip = (c % 10 == 0) if role == "second" else F.lit(False)
+    shift = F.when(c % 6 == 0, 1).otherwise(0) if role == "second" else F.lit(0)
+    accepted = ((e + 2 * c) % 5 < 2) != flip
+    pick = lambda names, n: F.element_at(
+        F.array(*[F.lit(x) for x in names]), (n % len(names) + 1).cast("int"))
+    return claims.select(
+        "claim_id", "effect_id", "cause_id", "expansion_level",
+        F.when(accepted, "accept").otherwise("reject").alias("decision"),
+        F.when(accepted, pick(RELATIONS, e + c + shift)).alias("relation"),
+        F.when(accepted, ((e + c) % 3 + 1).cast("int")).alias("strength"),
+        F.when(accepted, pick(EVIDENCE_QUALITIES, e + 3 * c)).alias("evidence_quality"),
+        F.when(~accepted, pick(REJECT_REASONS, e + 3 * c + shift)).alias("reject_reason"),
+    )
