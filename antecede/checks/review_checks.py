@@ -333,7 +333,8 @@ define("quoted", """
 
 @check("h31_h34_edge_records", with_("quoted", """
     , spans AS (SELECT q.claim_id, d.doc_id, strpos(d.text, q.quote) - 1 AS start, length(q.quote) AS n
-                FROM quoted q JOIN documents d ON d.doc_id IN (q.effect_id % 200, q.cause_id % 200)
+                FROM (SELECT claim_id, quote, unnest(list_distinct([effect_id % 200, cause_id % 200])) AS doc_id
+                      FROM quoted) q JOIN documents d ON d.doc_id = q.doc_id
                 WHERE q.quote <> '' AND strpos(d.text, q.quote) > 0),
     f AS (SELECT claim_id, min(doc_id) AS article_id, arg_min(start, doc_id) AS start,
                  arg_min(n, doc_id) AS n FROM spans GROUP BY claim_id)

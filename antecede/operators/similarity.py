@@ -155,35 +155,38 @@ def max_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
         F.max(dot(F.col("va"), F.col("vb"))).alias("similarity"))
 
 
-def cosine_pairs(vectors: DataFrame, floor: float) -> DataFrame:
-    """(block, a, b, similarity) for every pair of a block at or above ``floor``.
-
-    ``vectors`` has (block, id, vector) with unit vectors. A block is cut into tiles of about
-    TILE_ROWS rows and each pair of tiles is one small matrix product, so a hot block spreads
-    over many tasks and only pairs at the floor leave a task."""
-    sizes = vectors.groupBy("block").agg(
-        F.ceil(F.count("*") / F.lit(TILE_ROWS)).cast("int").alias("tiles"))
-    tiled = vectors.join(sizes, "block").withColumn(
-        "tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    left = tiled.select("block", "id", "vector", F.col("tile").alias("i"), F.explode(
-        F.sequence("tile", F.col("tiles") - 1)).alias("j"))
-    right = tiled.select(*[F.col(c).alias(c) for c in ("block", "id", "vector")], F.explode(
-        F.sequence(F.lit(0), "tile")).alias("i"), F.col("tile").alias("j"))
+def cosine_join(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
+    """(block, a, b, similarity) for left and right rows of a block at or above ``floor``.
+
+    Both sides have (block, id, vector) with unit vectors. Each side of a block is cut into
+    tiles of about TILE_ROWS rows and each pair of tiles is one small matrix product, so a hot
+    block spreads over many tasks and only pairs at the floor leave a task."""
+    def tiled(side: DataFrame, other: DataFrame, own: str, opposite: str) -> DataFrame:
+        tiles = lambda df, name: df.groupBy("block").agg(
+            F.ceil(F.count("*") / F.lit(TILE_ROWS)).cast("int").alias(name))
+        placed = side.join(tiles(side, "n_own"), "block").join(tiles(other, "n_other"), "block")
+        return placed.select(
+            F.col("block").alias("block"), F.col("id").alias("id"), F.col("vector").alias("vector"),
+            F.pmod(F.xxhash64("id"), F.col("n_own")).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)).alias(opposite))
 
     def multiply(key: tuple, rows: pd.DataFrame, columns: pd.DataFrame) -> pd.DataFrame:
-        block, i, j = key
         if rows.empty or columns.empty:
             return pd.DataFrame({"block": [], "a": [], "b": [], "similarity": []})
         x, y = (np.stack(d["vector"].to_numpy()).astype(np.float64) for d in (rows, columns))
         products = x @ y.T
         at = np.argwhere(products >= floor)
-        a, b = rows["id"].to_numpy()[at[:, 0]], columns["id"].to_numpy()[at[:, 1]]
-        keep = a < b if i == j else np.ones(len(a), dtype=bool)
-        low, high = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
-        return pd.DataFrame({"block": block, "a": low, "b": high,
-                             "similarity": products[at[:, 0], at[:, 1]][keep]})
-
-    kind = vectors.schema["id"].dataType.simpleString()
-    block_kind = vectors.schema["block"].dataType.simpleString()
-    return left.groupBy("block", "i", "j").cogroup(right.groupBy("block", "i", "j")).applyInPandas(
-        multiply, f"block {block_kind}, a {kind}, b {kind}, similarity double")
+        return pd.DataFrame({
+            "block": key[0], "a": rows["id"].to_numpy()[at[:, 0]],
+            "b": columns["id"].to_numpy()[at[:, 1]], "similarity": products[at[:, 0], at[:, 1]]})
+
+    types = {c: left.schema[c].dataType.simpleString() for c in ("block", "id")}
+    grid = ["block", "i", "j"]
+    return tiled(left, right, "i", "j").groupBy(*grid).cogroup(
+        tiled(right, left, "j", "i").groupBy(*grid)
+    ).applyInPandas(multiply, f"block {types['block']}, a {types['id']}, b {types['id']}, similarity double")
+
+
+def cosine_pairs(vectors: DataFrame, floor: float) -> DataFrame:
+    """(block, a, b, similarity) for every pair a < b of a block at or above ``floor``."""
+    return cosine_join(vectors, vectors, floor).filter("a < b")

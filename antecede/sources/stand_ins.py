@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from antecede.functions.codes import EVIDENCE_QUALITIES, REJECT_REASONS, RELATIONS
 from antecede.functions.dates import day_of_date
 from antecede.functions.ids import claim_key
+from antecede.functions.timex import resolved_time, validity
 from antecede.functions.urls import hostname, normalize_url, outcome_class
 
 
@@ -116,3 +117,46 @@ def judgement_view(claims: DataFrame, role: str = "primary") -> DataFrame:
         F.when(accepted, pick(EVIDENCE_QUALITIES, e + 3 * c)).alias("evidence_quality"),
         F.when(~accepted, pick(REJECT_REASONS, e + 3 * c + shift)).alias("reject_reason"),
     )
+
+
+def mention_view(spark: SparkSession, folder: str) -> DataFrame:
+    """One mention per event: three to an article, with a time expression that resolves back
+    to the event's day or the days around it."""
+    date, n = F.col("event_date"), F.col("GlobalEventID")
+    form = n % 7
+    text = (
+        F.when(form == 0, F.date_format(date, "'on' MMMM d, yyyy"))
+        .when(form == 1, F.date_format(date, "d MMM"))
+        .when(form == 2, F.date_format(date, "'on' EEEE"))
+        .when(form == 3, F.lit("late yesterday")).when(form == 4, F.lit("this morning"))
+        .when(form == 5, F.lit("last week")).otherwise(F.lit(None).cast("string"))
+    )
+    status = F.when(F.col("QuadClass") == "3", "announced").otherwise("asserted")
+    label = lambda prefix, value: F.concat(F.lit(prefix), value.cast("string"))
+    return event_view(spark, folder).select(
+        n.alias("mention_id"), F.floor(n / 3).alias("article_id"),
+        F.when(n % 13 != 0, F.col("EventRootCode")).alias("event_type"), status.alias("status"),
+        F.array_compact(F.array(F.nullif("Actor1Name", F.lit("")))).alias("actors"),
+        F.array("Actor2Name").alias("targets"), F.array(label("Place", n % 90)).alias("locations"),
+        label("acted", n % 50).alias("action"), label("outlet", n % 20).alias("outlet"),
+        text.alias("time_text"), resolved_time(text, date, status == "announced").alias("w"),
+    ).select("*", "w.*").drop("w")
+
+
+def condition_view(spark: SparkSession, folder: str) -> DataFrame:
+    """One condition mention per embedding."""
+    n = F.col("vec_id")
+    label = lambda prefix, value: F.concat(F.lit(prefix), value.cast("string"))
+    anchor = F.date_add(F.lit("2024-01-01").cast("date"), (n % 60).cast("int"))
+    since = F.when(n % 4 == 0, F.date_format(F.date_sub(anchor, 40), "'since' MMMM yyyy"))
+    until = F.when(n % 5 == 0, F.date_format(F.date_add(anchor, 9), "'until' MMMM d, yyyy"))
+    status = F.when(n % 5 == 0, "ended").otherwise("ongoing")
+    return table(spark, folder, "embeddings").select(
+        n.alias("id"), F.floor(n / 3).alias("article_id"), label("outlet", n % 7).alias("outlet"),
+        label("shortage of item ", n % 25).alias("phrase"),
+        F.when(F.col("label") % 2 == 0, "shortage").otherwise("policy").alias("kind"),
+        F.when(n % 3 == 0, "protest_cause").otherwise("context").alias("role"),
+        F.array(label("Holder", n % 20)).alias("holders"),
+        F.array(F.lower(label("Holder", n % 20))).alias("words"), F.col("embedding").alias("vector"),
+        validity(since, until, status, anchor).alias("v"),
+    ).select("*", "v.*").drop("v")
