@@ -160,3 +160,43 @@ def condition_view(spark: SparkSession, folder: str) -> DataFrame:
         F.array(F.lower(label("Holder", n % 20))).alias("words"), F.col("embedding").alias("vector"),
         validity(since, until, status, anchor).alias("v"),
     ).select("*", "v.*").drop("v")
+
+
+def graph_inputs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Claims, judgements, nodes and merge decisions in the store's shape."""
+    claims = claim_view(spark, folder)
+    e, c = F.col("effect_id"), F.col("cause_id")
+    label = lambda n: F.concat(F.lit("src"), (n % 20).cast("string"))
+    judged = judgement_view(claims)
+    strength = F.round(F.col("strength") / 3, 4)
+    row = lambda role, action, relation: judged.select(
+        "claim_id", e, c, F.lit(role).alias("role"), action.alias("action"), relation.alias("relation_type"),
+        strength.alias("strength"), "evidence_quality", F.lit(1).alias("corroboration_count"),
+        F.lit("ai_assisted").alias("label_source"))
+    primary = row("primary", F.col("decision"), F.col("relation"))
+    human = row("human-review", F.when((e + c) % 2 == 0, "accept").otherwise("reject"),
+                F.when((e + c) % 4 == 0, "ESCALATES")).filter((e * 3 + c) % 29 == 0)
+    blind = row("blind", F.when((e * 5 + c) % 3 != 0, "accept").otherwise("reject"),
+                F.col("relation")).filter((e + c) % 4 == 0)
+    events = event_view(spark, folder)
+    n = F.col("GlobalEventID")
+    nodes = events.select(
+        n.alias("id"), F.lit("event").alias("kind"), "event_date", F.col("day").cast("string").alias("date"),
+        F.array_compact(F.array(F.nullif("Actor1Name", F.lit("")), F.col("Actor2Name"))).alias("actors"),
+        F.when(n % 3 == 0, "PARENTS_FOUND").when(n % 3 == 1, "NOT_YET_REVIEWED").alias("search_status"))
+    later = events.filter(n > 0).filter(n % 50 < 3)
+    merges = later.select(
+        n.alias("node_a"), (n - 1).alias("node_b"), F.lit("same").alias("decision"),
+        F.lit("2024-02-01").alias("reviewed_at"), F.concat(F.lit("m"), n.cast("string")).alias("external_id"))
+    corrected = later.filter(n % 7 == 0).select(
+        (n - 1).alias("node_a"), n.alias("node_b"), F.lit("different").alias("decision"),
+        F.lit("2024-03-01").alias("reviewed_at"), F.concat(F.lit("n"), n.cast("string")).alias("external_id"))
+    verdict = judged.select("claim_id", F.when(F.col("decision") == "accept", "accepted").otherwise("rejected").alias("verdict"))
+    return {
+        "claims": claims.join(verdict, "claim_id").select(
+            "claim_id", "cause_id", "effect_id", F.lit("event").alias("cause_kind"), "verdict", "lag_days",
+            "expansion_level", "cause_date", "effect_date",
+            F.array_distinct(F.array(label(c), label(e))).alias("outlets")),
+        "annotations": primary.unionByName(human).unionByName(blind), "nodes": nodes,
+        "merges": merges.unionByName(corrected),
+    }
