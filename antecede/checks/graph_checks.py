@@ -188,7 +188,7 @@ define("qs", f"""
 define("gsym", "SELECT source AS x, target AS y FROM ge UNION SELECT target, source FROM ge", "ge")
 LABELS = ["SELECT GlobalEventID AS node, GlobalEventID AS c FROM ev"]
 define("lab0", LABELS[0], "ev")
-ROUNDS = 24
+ROUNDS = 80
 for _k in range(1, ROUNDS + 1):
     define(f"lab{_k}", f"""
         SELECT node, least(any_value(l.c), coalesce(min(m.c), any_value(l.c))) AS c FROM lab{_k - 1} l

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from antecede.functions.codes import EVIDENCE_QUALITIES, REJECT_REASONS, RELATIONS
 from antecede.functions.dates import day_of_date
 from antecede.functions.ids import claim_key
-from antecede.functions.timex import resolved_time, validity
+from antecede.functions.timex import with_resolved_time, with_validity
 from antecede.functions.urls import hostname, normalize_url, outcome_class
 
 
@@ -133,14 +133,15 @@ def mention_view(spark: SparkSession, folder: str) -> DataFrame:
     )
     status = F.when(F.col("QuadClass") == "3", "announced").otherwise("asserted")
     label = lambda prefix, value: F.concat(F.lit(prefix), value.cast("string"))
-    return event_view(spark, folder).select(
-        n.alias("mention_id"), F.floor(n / 3).alias("article_id"),
+    rows = event_view(spark, folder).select(
+        "event_date", n.alias("mention_id"), F.floor(n / 3).alias("article_id"),
         F.when(n % 13 != 0, F.col("EventRootCode")).alias("event_type"), status.alias("status"),
         F.array_compact(F.array(F.nullif("Actor1Name", F.lit("")))).alias("actors"),
         F.array("Actor2Name").alias("targets"), F.array(label("Place", n % 90)).alias("locations"),
         label("acted", n % 50).alias("action"), label("outlet", n % 20).alias("outlet"),
-        text.alias("time_text"), resolved_time(text, date, status == "announced").alias("w"),
-    ).select("*", "w.*").drop("w")
+        text.alias("time_text"))
+    resolved = with_resolved_time(rows, "time_text", "event_date", F.col("status") == "announced", "w")
+    return resolved.select("*", "w.*").drop("w", "event_date")
 
 
 def condition_view(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,15 +152,17 @@ def condition_view(spark: SparkSession, folder: str) -> DataFrame:
     since = F.when(n % 4 == 0, F.date_format(F.date_sub(anchor, 40), "'since' MMMM yyyy"))
     until = F.when(n % 5 == 0, F.date_format(F.date_add(anchor, 9), "'until' MMMM d, yyyy"))
     status = F.when(n % 5 == 0, "ended").otherwise("ongoing")
-    return table(spark, folder, "embeddings").select(
-        n.alias("id"), F.floor(n / 3).alias("article_id"), label("outlet", n % 7).alias("outlet"),
+    rows = table(spark, folder, "embeddings").select(
+        n.alias("id"), anchor.alias("anchor"), since.alias("since"), until.alias("until"),
+        status.alias("status"), F.floor(n / 3).alias("article_id"), label("outlet", n % 7).alias("outlet"),
         label("shortage of item ", n % 25).alias("phrase"),
         F.when(F.col("label") % 2 == 0, "shortage").otherwise("policy").alias("kind"),
         F.when(n % 3 == 0, "protest_cause").otherwise("context").alias("role"),
         F.array(label("Holder", n % 20)).alias("holders"),
         F.array(F.lower(label("Holder", n % 20))).alias("words"), F.col("embedding").alias("vector"),
-        validity(since, until, status, anchor).alias("v"),
-    ).select("*", "v.*").drop("v")
+    )
+    held = with_validity(rows, "since", "until", "status", "anchor", "v")
+    return held.select("*", "v.*").drop("v", "anchor", "since", "until", "status")
 
 
 def graph_inputs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
