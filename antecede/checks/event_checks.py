@@ -12,6 +12,7 @@ from antecede.operators import events as E, precedence as P
 from antecede.plans.causal_filter import causal_filter
 from antecede.plans.corpus import corpus_units
 from antecede.sources.stand_ins import event_view
+from antecede.sources.tables import in_codes, read_events
 
 
 @check("a2_event_view", with_("ev", """
@@ -23,6 +24,31 @@ def event_table(spark, folder):
     return rounded(spark.table("coded_events").drop("event_date"))
 
 
+@check("a1_table_scan", """
+    SELECT event_type, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY 1""")
+def table_scan(spark, folder):
+    return read_events(spark, f"{folder}/events.parquet").groupBy("event_type").agg(
+        F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+@check("a8_code_list_join", with_("ev", """
+    SELECT GlobalEventID, EventRootCode FROM ev WHERE EventRootCode IN (
+        SELECT EventRootCode FROM ev WHERE QuadClass = '4' OR QuadClass = '3')"""))
+def code_list_join(spark, folder):
+    events = event_view(spark, folder)
+    codes = events.filter("QuadClass IN ('3', '4')").select(F.col("EventRootCode").alias("code")).distinct()
+    return in_codes(events, codes, "EventRootCode").select("GlobalEventID", "EventRootCode")
+
+
+@check("a6_json_export", with_("ev", """
+    SELECT GlobalEventID, '{"id":' || GlobalEventID || ',"root":"' || EventRootCode || '","url":"' || SOURCEURL || '"}' AS record
+    FROM ev"""))
+def json_export(spark, folder):
+    events = event_view(spark, folder)
+    record = F.struct(F.col("GlobalEventID").alias("id"), F.col("EventRootCode").alias("root"), F.col("SOURCEURL").alias("url"))
+    return events.select("GlobalEventID", F.to_json(record).alias("record"))
+
+
 @check("a10_dataset_manifest", with_("ev", """
     SELECT coalesce(EventRootCode, 'ALL') AS EventRootCode, count(*) AS rows,
            min(day) AS min_day, max(day) AS max_day
