@@ -138,7 +138,7 @@ def explainable_seeds(spark, folder):
     ORDER BY day DESC, GlobalEventID DESC LIMIT 50 OFFSET 100"""))
 def event_page(spark, folder):
     rows, total = D.event_page(event_view(spark, folder), "actor2", "G2,G5", page=3)
-    return rows.select("GlobalEventID", "day", "Actor1Name").join(total)
+    return rows.select("GlobalEventID", "day", "Actor1Name").withColumn("total", total.scalar())
 
 
 @check("e4_daily_seeds", with_("served", """

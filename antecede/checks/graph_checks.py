@@ -100,8 +100,9 @@ def folded_edges(spark, folder):
 def compiled_counts(spark, folder):
     """Counts and content version of the compiled graph."""
     graph = K8.compile_graph(**graph_inputs(spark, folder))
-    return graph.counts.join(graph.version.drop("rows")).join(
-        graph.blocked.agg(F.count("*").alias("merges_blocked")))
+    return graph.counts.withColumns({
+        "version": graph.version.select("version").scalar(),
+        "merges_blocked": graph.blocked.agg(F.count("*")).scalar()})
 
 
 @check("b16_default_view", with_("ge", """
@@ -109,8 +110,9 @@ def compiled_counts(spark, folder):
     WHERE human_verified OR evidence_quality <> 'implicit'"""))
 def default_view(spark, folder):
     edges = plain_edges(spark, folder)
+    everything = edges.agg(F.count("*")).scalar()
     kept = G.without_unchecked_implied(edges).agg(F.count("*").alias("kept"))
-    return kept.join(edges.agg(F.count("*").alias("n"))).select("kept", (F.col("n") - F.col("kept")).alias("hidden_implied"))
+    return kept.withColumn("hidden_implied", everything - F.col("kept"))
 
 
 @check("g1_node_table", with_("ev", """

@@ -106,12 +106,12 @@ def span_scores(predicted: DataFrame, gold: DataFrame, candidates: DataFrame) ->
     gold spans lying inside a candidate sentence."""
     key = ["article_id", "label", "start", "end"]
     p, g = predicted.select(*key).distinct(), gold.select(*key).distinct()
-    both = p.join(g, key, "left_semi").agg(F.count("*").alias("true_positive"))
     inside = g.join(
         candidates.select("article_id", F.col("start").alias("s"), F.col("end").alias("e")), "article_id"
-    ).filter("s <= start AND end <= e").select(*key).distinct().agg(F.count("*").alias("candidate_gold"))
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    row = both.join(one(p, "predicted")).join(one(g, "gold")).join(inside)  # one row each
+    ).filter("s <= start AND end <= e").select(*key).distinct()
+    many = lambda df: df.agg(F.count("*")).scalar()
+    row = p.agg(F.count("*").alias("predicted")).withColumns({
+        "true_positive": many(p.join(g, key, "left_semi")), "gold": many(g), "candidate_gold": many(inside)})
     rate = lambda d: F.round(F.try_divide(F.col("true_positive"), F.col(d)), 6)
     return row.withColumns({"precision": rate("predicted"), "recall": rate("gold"),
                             "recall_within_candidates": rate("candidate_gold")})

@@ -92,8 +92,8 @@ def fetch_summary(records: DataFrame, corpus_hosts: DataFrame, top_hosts: int =
     running = F.sum("n").over(Window.orderBy("text_length"))
     everything = F.sum("n").over(Window.partitionBy())
     median = lengths.withColumns({"upto": running, "all": everything}).filter(
-        F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("text_length").alias("median_text_length"))
-    return total.join(median)
+        F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("text_length"))
+    return total.withColumn("median_text_length", median.scalar())
 
 
 def by_host_round_robin(urls: DataFrame, size: int) -> DataFrame:

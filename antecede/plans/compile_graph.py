@@ -47,15 +47,16 @@ def compile_graph(claims: DataFrame, annotations: DataFrame, nodes: DataFrame, m
     edges = checkpointed(edges)
     used = G.merged_nodes(nodes, edges, alias)
     human_rejected = annotations.filter("role = 'human-review' AND action = 'reject'")
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    verdicts = claims.agg(
+    many = lambda df: df.agg(F.count("*")).scalar()
+    counts = claims.agg(
         F.count("*").alias("claims"), F.count_if(F.col("verdict") == "accepted").alias("accepted_claims"),
-        F.count_if(F.col("verdict") == "rejected").alias("rejected_claims"))
-    totals = edges.agg(F.count("*").alias("edges"), F.count_if("human_verified").alias("human_verified_edges"))
-    counts = verdicts
-    for part in (one(accepted, "claim_edges"), totals, one(human_rejected, "human_rejected_claims"),
-                 one(used, "nodes"), one(alias, "nodes_merged_away"), one(loops, "self_loops_dropped")):
-        counts = counts.join(part)  # one row each
+        F.count_if(F.col("verdict") == "rejected").alias("rejected_claims"),
+    ).withColumns({
+        "claim_edges": many(accepted), "edges": many(edges),
+        "human_verified_edges": many(edges.filter("human_verified")),
+        "human_rejected_claims": many(human_rejected), "nodes": many(used),
+        "nodes_merged_away": many(alias), "self_loops_dropped": many(loops),
+    })
     return CompiledGraph(used, edges, counts, blocked, content_version(edges))
 
 
