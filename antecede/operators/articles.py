@@ -76,11 +76,15 @@ def text_quality(articles: DataFrame, short_words: int = 120) -> DataFrame:
     return articles.withColumns({"quality": quality, "flags": flags, "word_count": words})
 
 
-@F.pandas_udf(StringType())
-def unescaped(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Replace character entities, which no built-in function does."""
-    for batch in values:
-        yield batch.map(html_entities.unescape, na_action="ignore")
+def unescaped(text: Column) -> Column:
+    """Replace character entities, which no built-in function does. The function is defined
+    here so that it travels to the workers by value."""
+    @F.pandas_udf(StringType())
+    def unescape(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in values:
+            yield batch.map(html_entities.unescape, na_action="ignore")
+
+    return unescape(text)
 
 
 def visible_text(html: Column) -> Column:
