@@ -96,3 +96,12 @@ def test_partly_judged_targets_do_not_count(spark):
     df = spark.createDataFrame(rows, "target_id string, depth int, cand_group_id string, event_count int, accept string")
     total = branching(df)[1].first()
     assert (total["targets_judged"], total["targets_with_candidates"], total["branching_factor"]) == (2, 1, 0.5)
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    coded(spark).write.parquet(path)
+    kept = E.with_target_roots(E.in_country(T.read_events(spark, path), "IN")).select("GlobalEventID")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(ActionGeo_CountryCode)" in plan
+    assert "ReadSchema: struct<GlobalEventID:bigint,EventRootCode:string,ActionGeo_CountryCode:string>" in plan
