@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from antecede.llm import preference, quality_rules
+from antecede.llm import decontamination, line_dedup, preference, quality_rules
 from antecede.llm.common import table
 from antecede.llm.registry import query
 
@@ -81,3 +81,16 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Base measures, base verdict and cascade verdict of every whole document."""
     return quality_rules.cascade(table(spark, folder, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op7_line_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the lines removed that repeat an earlier line, nearly or exactly."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.deduplicated(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@query("op10_benchmark_decontamination")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the benchmark item it holds, if any."""
+    return decontamination.flagged(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
