@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from antecede.llm import pieces, toxicity
+from antecede.llm import language, pieces, quality_model, toxicity
 from antecede.llm.common import fold_is, table
 from antecede.llm.registry import query
 
-TOXIC_FROM = 0.3
+TOXIC_FROM = GOOD_FROM = 0.3
 
 
 @query("op5_sentencepiece_sampling")
@@ -27,3 +27,23 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(docs, model).select(
         "doc_id", fold_is("doc_id", toxicity.FOLDS, toxicity.HELD_OUT).alias("held_out"), "score",
         (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every whole text; rows with crc32(doc_id) mod 5 = 0 are never learned from."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = fold_is("doc_id", 5, 0)
+    weights = quality_model.fitted(docs.filter(~held_out), table(spark, folder, "labels"))
+    return quality_model.scored(docs, weights).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every whole text; rows with crc32(doc_id) mod 3 = 1 are never learned from."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = fold_is("doc_id", 3, 1)
+    model = language.fitted(docs.filter(~held_out))
+    return language.identified(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
