@@ -325,39 +325,61 @@ def lags_and_types(spark, folder):
 
 define("quoted", """
     SELECT f.claim_id, f.effect_id, f.cause_id, f.lag_days, f.decision, f.relation, f.strength,
-           f.evidence_quality, f.reject_reason,
-           CASE WHEN f.effect_id % 19 = 0 THEN 'no such words' ELSE substr(d.text, 1 + f.effect_id % 50, 40) END
-             AS quote
-    FROM first f JOIN documents d ON d.doc_id = f.effect_id % 200""", "first")
+           f.evidence_quality, f.reject_reason, n.docs, e.text AS etext, c.text AS ctext
+    FROM first f, (SELECT count(*) AS docs FROM documents) n
+    JOIN documents e ON e.doc_id = f.effect_id % n.docs JOIN documents c ON c.doc_id = f.cause_id % n.docs""", "first")
 
 
 @check("h31_h34_edge_records", with_("quoted", """
-    , spans AS (SELECT q.claim_id, d.doc_id, strpos(d.text, q.quote) - 1 AS start, length(q.quote) AS n
-                FROM (SELECT claim_id, quote, unnest(list_distinct([effect_id % 200, cause_id % 200])) AS doc_id
-                      FROM quoted) q JOIN documents d ON d.doc_id = q.doc_id
-                WHERE q.quote <> '' AND strpos(d.text, q.quote) > 0),
-    f AS (SELECT claim_id, min(doc_id) AS article_id, arg_min(start, doc_id) AS start,
-                 arg_min(n, doc_id) AS n FROM spans GROUP BY claim_id)
+    , quotes AS (
+        SELECT claim_id, effect_id % docs AS e, cause_id % docs AS c, unnest([
+            {'place': 0, 'quote': CASE WHEN effect_id % 19 = 0 THEN 'no such words' ELSE substr(etext, 1 + effect_id % 50, 40) END},
+            {'place': 1, 'quote': substr(ctext, 1 + effect_id % 30, 30)},
+            {'place': 2, 'quote': CASE WHEN effect_id % 3 = 0 THEN 'nowhere to be found' ELSE substr(etext, 5, 20) END}]) AS q
+        FROM quoted),
+    spans AS (
+        SELECT claim_id, q.place AS place, arg_min(strpos(d.text, q.quote) - 1, d.doc_id) AS start, min(d.doc_id) AS article_id,
+               any_value(length(q.quote)) AS n
+        FROM (SELECT *, unnest(list_distinct([e, c])) AS doc_id FROM quotes) x JOIN documents d ON d.doc_id = x.doc_id
+        WHERE q.quote <> '' AND strpos(d.text, q.quote) > 0 GROUP BY ALL),
+    f AS (SELECT claim_id, max(article_id) FILTER (place = 0) AS article_id, max(start) FILTER (place = 0) AS start,
+                 max(n) FILTER (place = 0) AS n, count(DISTINCT d.source) AS outlets,
+                 coalesce(string_agg(place || ':' || article_id || ':' || start || ':' || (start + n), ',' ORDER BY place)
+                          FILTER (place > 0), '') AS supporting
+          FROM spans JOIN documents d ON d.doc_id = article_id GROUP BY claim_id)
     SELECT claim_id, lag_days, CASE WHEN decision = 'accept' THEN 'ACCEPTED' ELSE 'REJECTED' END AS review_status,
            coalesce(relation, '') AS relation_type,
            coalesce(round(round(strength / 3, 9), 4), -1) AS final_strength,
            coalesce(reject_reason, '') AS reject_reason, coalesce(article_id, -1) AS article_id,
            CAST(coalesce(start, -1) AS INTEGER) AS start, CAST(coalesce(start + n, -1) AS INTEGER) AS "end",
-           CASE WHEN decision = 'accept' AND start IS NOT NULL THEN 1 ELSE 0 END AS corroboration_count,
+           CASE WHEN decision = 'accept' THEN coalesce(supporting, '') ELSE '' END AS supporting,
+           CAST(CASE WHEN decision = 'accept' AND start IS NOT NULL THEN outlets ELSE 0 END AS INTEGER) AS corroboration_count,
            CASE WHEN decision = 'accept' AND start IS NULL THEN 'evidence' ELSE '' END AS violations
     FROM quoted LEFT JOIN f USING (claim_id)"""))
 def edge_records(spark, folder):
+    """Claims over all documents: the primary quote and one supporting quote come from the effect's report, one
+    from the cause's; some are in neither."""
     claims = claims_of(spark, folder)
-    articles = table(spark, folder, "documents").select(F.col("doc_id").alias("article_id"), "text")
-    e, c = F.col("effect_id") % 200, F.col("cause_id") % 200
-    quote = F.when(F.col("effect_id") % 19 == 0, "no such words").otherwise(
-        F.substring(F.col("text"), (1 + F.col("effect_id") % 50).cast("int"), F.lit(40)))
-    quotes = claims.withColumn("article_id", e).join(articles, "article_id").select(
-        "claim_id", quote.alias("quote"), F.array_distinct(F.array(e, c)).alias("article_ids"))
+    articles = table(spark, folder, "documents").select(F.col("doc_id").alias("article_id"), "text", F.col("source").alias("outlet"))
+    docs = articles.count()
+    e, c = F.col("effect_id") % docs, F.col("cause_id") % docs
+    sides = claims.select("claim_id", "effect_id", e.alias("e"), c.alias("c")).join(
+        articles.select(F.col("article_id").alias("e"), F.col("text").alias("etext")), "e").join(
+        articles.select(F.col("article_id").alias("c"), F.col("text").alias("ctext")), "c")
+    piece = lambda text, start, n: F.substring(F.col(text), start, F.lit(n))
+    at = F.col("effect_id")
+    listed = F.array(
+        F.when(at % 19 == 0, "no such words").otherwise(piece("etext", (1 + at % 50).cast("int"), 40)),
+        piece("ctext", (1 + at % 30).cast("int"), 30),
+        F.when(at % 3 == 0, "nowhere to be found").otherwise(piece("etext", F.lit(5), 20)))
+    quotes = sides.select("claim_id", F.array_distinct(F.array("e", "c")).alias("article_ids"),
+                          F.posexplode(listed).alias("place", "quote"))
     judged = judgement_view(claims).drop("effect_id", "cause_id", "expansion_level")
-    edges = R.edge_records(claims, judged, R.first_quote(quotes, articles))
+    edges = R.edge_records(claims, judged, R.claim_evidence(R.quote_spans(quotes, articles)))
     none = {"relation_type": F.lit(""), "reject_reason": F.lit(""), "final_strength": F.lit(-1.0),
             "article_id": F.lit(-1), "start": F.lit(-1), "end": F.lit(-1)}
+    spans = F.array_join(F.transform("supporting", lambda s: F.concat_ws(":", s["place"], s["article_id"], s["start"], s["end"])), ",")
     return edges.withColumns({k: F.coalesce(k, v) for k, v in none.items()}).select(
         "claim_id", "lag_days", "review_status", "relation_type", "final_strength", "reject_reason",
-        "article_id", "start", "end", "corroboration_count", F.array_join("violations", ",").alias("violations"))
+        "article_id", "start", "end", F.coalesce(spans, F.lit("")).alias("supporting"), "corroboration_count",
+        F.array_join("violations", ",").alias("violations"))

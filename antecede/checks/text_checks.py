@@ -86,7 +86,7 @@ def text_quality(spark, folder):
 
 
 @check("h24_page_language", r"""
-    SELECT page_id, lower(regexp_extract(html[:8192],
+    SELECT page_id, lower(regexp_extract(html,
         '<html[^>]*\blang\s*=\s*["'']?([a-zA-Z]{2,3}(?:-[a-zA-Z0-9]+)?)', 1, 'i')) AS language
     FROM pages""")
 def page_language(spark, folder):

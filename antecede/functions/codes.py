@@ -62,7 +62,6 @@ MIN_GROUP_EVENTS = 3
 ACTOR_MAX_SHARE = 0.05
 ACTOR_PROBES = 3
 SPIKE_PERCENTILE = 0.75
-MAX_PRECURSORS = 20
 CHANNEL_WEIGHTS = {
     "documented": 2.6, "corroboration": 1.4, "prior": 1.1,
     "contrastive": 1.3, "actors": 0.9, "contradiction": -3.0,

@@ -83,8 +83,6 @@ MIN_ARTICLE_BLOCKS = 2
 MIN_SENTENCES = 3
 MAX_GATE_CHARS = 1200
 SCRIPT_SHARE = 0.20
-LANGUAGE_HEAD_BYTES = 8192
-LANGUAGE_SAMPLE_CHARS = 4000
 
 
 def has(text: Column, pattern: str) -> Column:
@@ -104,12 +102,10 @@ def count_where(items: Column, condition) -> Column:
 
 
 def language(html: Column, text: Column) -> Column:
-    """The page's own language attribute, else the script holding over a fifth of the text
-    sample, else English; unknown without text. The head and sample lengths are part of the
-    rule, not a shortcut."""
-    tag = F.lower(F.regexp_extract(
-        F.substring(html, 1, LANGUAGE_HEAD_BYTES), f"(?i){HTML_LANG}", 1))
-    sample = F.substring(F.coalesce(text, F.lit("")), 1, LANGUAGE_SAMPLE_CHARS)
+    """The page's own language attribute, else the script holding over a fifth of the text, else
+    English; unknown without text. The whole page and text are judged."""
+    tag = F.lower(F.regexp_extract(html, f"(?i){HTML_LANG}", 1))
+    sample = F.coalesce(text, F.lit(""))
     counts = [
         F.struct(F.regexp_count(sample, F.lit(f"[{chars}]")).alias("n"),
                  F.lit(-i).alias("order"), F.lit(name).alias("name"))
@@ -227,7 +223,7 @@ def with_clean_text(rows: DataFrame, text: str, title: str, out: str) -> DataFra
     blocks = F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"], x["t"]))),
                          lambda x: x["t"])
     at = F.array_position(F.transform(
-        F.slice("_blocks", 1, 8), lambda b: compact(b).startswith(F.col("_anchor"))), F.lit(True))
+        F.col("_blocks"), lambda b: compact(b).startswith(F.col("_anchor"))), F.lit(True))
     from_title = F.when(
         (F.size("_blocks") >= 2) & (F.length("_anchor") >= 30) & (F.col("_at") > 0),
         F.slice("_blocks", F.col("_at").cast("int"), F.size("_blocks"))).otherwise(F.col("_blocks"))
@@ -235,7 +231,7 @@ def with_clean_text(rows: DataFrame, text: str, title: str, out: str) -> DataFra
         F.lower(F.get("_topped", 0)) == F.lower(F.col(title)))
     rest = lambda c: F.slice(c, 2, F.greatest(F.size(c), F.lit(1)))
     untitled = F.when(same_title, rest("_topped")).otherwise(F.col("_topped"))
-    first, opening = F.get("_untitled", 0), F.substring(spaced(F.get("_untitled", 1)), 1, 80)
+    first, opening = F.get("_untitled", 0), spaced(F.get("_untitled", 1))
     wrapper = compact(first).startswith(compact(F.col(title))) & (
         ((F.length(first) <= 500) & has(first, ARTICLE_METADATA_CUES))
         | ((F.length(opening) >= 80) & F.contains(spaced(first), opening)))
@@ -243,7 +239,7 @@ def with_clean_text(rows: DataFrame, text: str, title: str, out: str) -> DataFra
                    rest("_untitled")).otherwise(F.col("_untitled"))
     steps = {
         "_tidied": tidied, "_cut": cut, "_last": last, "_texts": texts, "_ordered": ordered,
-        "_blocks": blocks, "_anchor": F.substring(compact(F.col(title)), 1, 60), "_at": at,
+        "_blocks": blocks, "_anchor": compact(F.col(title)), "_at": at,
         "_topped": from_title, "_untitled": untitled,
     }
     for name, step in steps.items():

@@ -234,24 +234,37 @@ def located(quote: Column, text: Column) -> Column:
     return F.when((quote != "") & (at > 0), at - 1)
 
 
-def first_quote(quotes: DataFrame, articles: DataFrame) -> DataFrame:
-    """The first article (by id) of each claim that holds its quote verbatim, with offsets.
-
-    ``quotes`` has (claim_id, quote, article_ids); ``articles`` has (article_id, text)."""
-    listed = quotes.select("claim_id", "quote", F.explode("article_ids").alias("article_id"))
-    found = listed.join(articles.select("article_id", "text"), "article_id").select(
-        "claim_id", "article_id", "quote", located(F.col("quote"), F.col("text")).alias("start")
+def quote_spans(quotes: DataFrame, articles: DataFrame) -> DataFrame:
+    """Each quote in the first article (by id) that holds it verbatim, with offsets and outlet.
+
+    ``quotes`` has (claim_id, place, quote, article_ids), place 0 for the primary quote and 1, 2, ...
+    for supporting ones; ``articles`` has (article_id, text, outlet). A quote that no article holds has no row."""
+    listed = quotes.select("claim_id", "place", "quote", F.explode("article_ids").alias("article_id"))
+    found = listed.join(articles.select("article_id", "text", "outlet"), "article_id").select(
+        "claim_id", "place", "article_id", "outlet", "quote", located(F.col("quote"), F.col("text")).alias("start")
     ).filter("start IS NOT NULL")
-    first = F.min(F.struct("article_id", "start", "quote")).alias("f")
-    return found.groupBy("claim_id").agg(first).select(
-        "claim_id", "f.article_id", "f.start", (F.col("f.start") + F.length("f.quote")).alias("end"))
+    first = F.min(F.struct("article_id", "start", "outlet", "quote")).alias("f")
+    return found.groupBy("claim_id", "place").agg(first).select(
+        "claim_id", "place", "f.article_id", "f.outlet", "f.start", (F.col("f.start") + F.length("f.quote")).alias("end"))
+
+
+def claim_evidence(spans: DataFrame) -> DataFrame:
+    """(claim_id, article_id, start, end, supporting, outlets): the primary span, the supporting
+    spans in order, and how many outlets carry any of them. A claim lists a handful of quotes."""
+    primary = lambda c: F.max(F.when(F.col("place") == 0, F.col(c))).alias(c)
+    span = F.struct("place", "article_id", "start", "end")
+    return spans.groupBy("claim_id").agg(
+        primary("article_id"), primary("start"), primary("end"),
+        F.array_sort(F.collect_list(F.when(F.col("place") > 0, span))).alias("supporting"),
+        F.count_distinct("outlet").cast("int").alias("outlets"))
 
 
 def edge_records(claims: DataFrame, judgements: DataFrame, evidence: DataFrame) -> DataFrame:
     """Judged claims as edges, each with the rubric rules it breaks.
 
     ``judgements`` has (claim_id, decision, relation, strength, evidence_quality,
-    reject_reason); ``evidence`` is the located quote of ``first_quote`` with its outlet."""
+    reject_reason); ``evidence`` comes from ``claim_evidence``. Corroboration counts the outlets whose
+    text carries the link, in the primary or a supporting quote, not the copies of an article."""
     rows = claims.join(judgements, "claim_id").join(evidence, "claim_id", "left")
     accept, reject = F.col("decision") == "accept", F.col("decision") == "reject"
     in_list = lambda c, names: F.coalesce(F.col(c).isin(list(names)), F.lit(False))
@@ -270,8 +283,8 @@ def edge_records(claims: DataFrame, judgements: DataFrame, evidence: DataFrame)
         F.when(accept, steady_round(F.col("strength") / 3, 4)).alias("final_strength"),
         F.when(accept, F.col("evidence_quality")).alias("evidence_quality"),
         F.when(reject, F.col("reject_reason")).alias("reject_reason"),
-        "article_id", "start", "end",
-        F.when(accept & F.col("start").isNotNull(), 1).otherwise(0).alias("corroboration_count"),
+        "article_id", "start", "end", F.when(accept, F.col("supporting")).alias("supporting"),
+        F.when(accept & F.col("start").isNotNull(), F.col("outlets")).otherwise(0).alias("corroboration_count"),
         "violations")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from antecede.functions import scores as S
 from antecede.functions.codes import (
-    KEPT_GRADES, MAX_PRECURSORS, MIN_GROUP_EVENTS, WINDOW_DAYS, padded_root,
+    KEPT_GRADES, MIN_GROUP_EVENTS, WINDOW_DAYS, padded_root,
 )
 from antecede.functions.dates import day_of_date
 from antecede.functions.rounding import steady_round
@@ -56,10 +56,10 @@ def token_tables(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def documented_groups(targets: DataFrame, events: DataFrame) -> DataFrame:
-    """(target, day, code) of the target's first precursors, looked up in ``events``."""
+    """(target, day, code) of the target's precursors, looked up in ``events``."""
     listed = targets.select(
         F.col("GlobalEventID").alias("target_id"),
-        F.explode(F.slice("precursors", 1, MAX_PRECURSORS)).alias("GlobalEventID"))
+        F.explode("precursors").alias("GlobalEventID"))
     found = events.select("GlobalEventID", F.col(DATE).alias("c_date"),
                           padded_root(F.col(ROOT)).alias("c_rc"))
     return listed.join(found, "GlobalEventID").select("target_id", "c_date", "c_rc").distinct()
