@@ -175,8 +175,8 @@ TOKENS = f"""list_transform(list_filter(regexp_extract_all(lower(X), '[a-z0-9]+'
     lambda x: CASE WHEN length(x) > 4 AND x LIKE '%s' THEN x[:-2] ELSE x END)"""
 define("ndoc", f"""
     SELECT GlobalEventID AS node, {TOKENS.replace('X', "d.title")} AS ts
-    FROM ev JOIN (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents) d
-      ON d.doc_id = GlobalEventID % 200""", "ev")
+    FROM ev JOIN (SELECT doc_id, text AS title FROM documents) d
+      ON d.doc_id = GlobalEventID % (SELECT count(*) FROM documents)""", "ev")
 define("qs", f"""
     WITH q AS (SELECT DISTINCT item_id AS question_id, unnest({TOKENS.replace('X', 'text')}) AS term FROM benchmark),
     post AS (SELECT node, len(ts) AS dl, term, count(*) AS tf FROM (SELECT node, ts, unnest(ts) AS term FROM ndoc)
@@ -214,8 +214,8 @@ define("aims", """
 def question_inputs(spark, folder):
     nodes = event_view(spark, folder).select(F.col("GlobalEventID").alias("id"))
     titles = table(spark, folder, "documents").select(
-        "doc_id", F.substring_index("text", "\n", 1).alias("text"))
-    docs = nodes.withColumn("doc_id", F.col("id") % 200).join(titles, "doc_id").select(
+        "doc_id", "text")
+    docs = nodes.withColumn("doc_id", F.col("id") % titles.count()).join(titles, "doc_id").select(
         F.col("id").alias("node"), "text")
     questions = table(spark, folder, "benchmark").select(
         F.col("item_id").alias("question_id"), F.col("text").alias("question"))
