@@ -65,15 +65,15 @@ def text_similarity(spark, folder):
 
 @check("h23_text_quality", rf"""
     WITH d AS (SELECT doc_id, text, doc_id % 9 <> 0 AS verified,
-                      CASE WHEN trim(text) = '' THEN 0
-                           ELSE len(regexp_split_to_array(trim(text), '\s+')) END AS word_count,
+                      CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 0
+                           ELSE len(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\s+')) END AS word_count,
                       NOT regexp_matches(text, '{lit(T.PROTEST_CUES)}', 'i') AS no_cue
                FROM documents)
     SELECT doc_id, word_count,
-           CASE WHEN trim(text) = '' THEN 'UNSUITABLE' WHEN NOT verified THEN 'UNVERIFIED'
+           CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'UNSUITABLE' WHEN NOT verified THEN 'UNVERIFIED'
                 WHEN word_count < 120 THEN 'SHORT_REVIEW' ELSE 'READABLE' END AS quality,
-           concat_ws(',', CASE WHEN trim(text) = '' THEN 'extracted' END,
-                CASE WHEN trim(text) <> '' AND NOT verified THEN 'current-extractor-not-verified' END,
+           concat_ws(',', CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'extracted' END,
+                CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' AND NOT verified THEN 'current-extractor-not-verified' END,
                 CASE WHEN word_count < 120 THEN 'short-text-review' END,
                 CASE WHEN no_cue THEN 'no-protest-cue-in-body' END) AS flags
     FROM d""")
@@ -176,7 +176,7 @@ define("grams", r"""
         SELECT doc_id, i, n, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o,
                                        lead(w, 3) OVER o, lead(w, 4) OVER o) AS s
         FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n
-              FROM (SELECT doc_id, regexp_split_to_array(trim(text), '\s+') AS ws FROM documents))
+              FROM (SELECT doc_id, regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\s+') AS ws FROM documents))
         WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE i <= n - 4""")
 define("gramcounts", "SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id", "grams")
 define("duppairs", """
@@ -188,7 +188,7 @@ define("duppairs", """
 define("alllinks", """
     SELECT a, b FROM duppairs
     UNION SELECT min(doc_id) OVER (PARTITION BY sha256(text)), doc_id FROM documents
-          WHERE trim(text) <> ''""", "duppairs")
+          WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''""", "duppairs")
 REACH = """reach(node, member) AS (
         SELECT doc_id, doc_id FROM documents
         UNION SELECT r.node, CASE WHEN l.a = r.member THEN l.b ELSE l.a END
@@ -197,7 +197,7 @@ REACH = """reach(node, member) AS (
 
 def documents(spark, folder):
     return table(spark, folder, "documents").withColumn(
-        "text_hash", F.when(F.trim("text") != "", F.sha2("text", 256)))
+        "text_hash", F.when(W.stripped(F.col("text")) != "", F.sha2("text", 256)))
 
 
 @check("i1_near_duplicate_groups", with_("alllinks", """

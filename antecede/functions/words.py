@@ -16,6 +16,11 @@ MENTION_STOP = (
 )
 
 
+def stripped(text: Column) -> Column:
+    """Text without white space at its ends, line breaks and tabs included."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from antecede.functions import quality as T
+from antecede.functions.words import stripped
 
 BLOCK_TAGS = r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|table|section|article|blockquote)\b[^>]*>"
 FURNITURE = r"(?is)<(nav|header|footer|aside|form)\b[^>]*>.*?</\1>"
@@ -60,8 +61,8 @@ def text_quality(articles: DataFrame, short_words: int = 120) -> DataFrame:
     ``articles`` has (text, status, reason, verified): the extraction outcome and whether the
     current extractor has confirmed it."""
     text = F.coalesce("text", F.lit(""))
-    words = F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(text), r"\s+")))
-    unsuitable = (F.col("status") != "extracted") | (F.trim(text) == "")
+    words = F.when(stripped(text) == "", 0).otherwise(F.size(F.split(stripped(text), r"\s+")))
+    unsuitable = (F.col("status") != "extracted") | (stripped(text) == "")
     short = words < short_words
     flags = F.array_compact(F.array(
         F.when(unsuitable, F.coalesce("reason", "status")),

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from antecede.functions.words import question_tokens
+from antecede.functions.words import question_tokens, stripped
 from antecede.operators.components import connected_components, label_all
 from antecede.session import checkpointed
 
@@ -19,7 +19,7 @@ TILE_ROWS = 2048
 
 
 def word_list(text: Column) -> Column:
-    return F.split(F.trim(text), r"\s+")
+    return F.split(stripped(text), r"\s+")
 
 
 def shingle_hashes(words: str, size: int = SHINGLE) -> Column:
