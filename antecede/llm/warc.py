@@ -122,7 +122,7 @@ def written(chunks: DataFrame, folder: str) -> DataFrame:
                 if out is None:
                     system, place = pafs.FileSystem.from_uri(path)
                     system.create_dir(place.rpartition("/")[0], recursive=True)
-                    out = system.open_output_stream(place)
+                    out = system.open_output_stream(place, compression=None)  # members are packed here
                 if row["chunk"] == 0:
                     packer, records = zlib.compressobj(1, zlib.DEFLATED, 31), records + 1
                     out.write(packer.compress(_header(row)))
@@ -191,7 +191,7 @@ def read(manifest: DataFrame) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 system, place = pafs.FileSystem.from_uri(path)
                 rows: list[tuple] = []
-                with system.open_input_stream(place) as stream:
+                with system.open_input_stream(place, compression=None) as stream:
                     members = _Members(stream)
                     while (head := members.header()) is not None:
                         digest, n = hashlib.sha1(), 0
