@@ -7,10 +7,12 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A session for tests and the bench; a cluster brings its own."""
+def local_session(cores: str = "*", shuffle_partitions: int = 8, checkpoints: str | None = None) -> SparkSession:
+    """A session for tests and the bench, with its checkpoint folder; a cluster brings its own."""
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        SparkSession.builder.config(
+            "spark.checkpoint.dir", checkpoints or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        .master(f"local[{cores}]")
         .appName("antecede")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -25,9 +27,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through the reliable checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``. A local session without one gets a
-    temporary folder; a cluster without one is an error, since a machine-local folder
-    would be lost with its executor.
+    The folder comes from ``spark.checkpoint.dir``. Only a local session made elsewhere without
+    one gets a temporary folder; a cluster without one is an error, since a machine-local
+    folder would be lost with its executor.
     """
     spark = df.sparkSession
     context = spark.sparkContext
