@@ -220,11 +220,10 @@ def precursor_links(spark, folder):
     SELECT day, GlobalEventID, EventCode, EventRootCode, QuadClass,
            round(GoldsteinScale, 9) AS GoldsteinScale, Actor1Name, Actor1CountryCode, Actor2Name,
            Actor2CountryCode, ActionGeo_CountryCode, SOURCEURL, causal_in_degree, precursor_ids
-    FROM served"""))
+    FROM served""").replace("FROM events)", "FROM events WHERE user_id % 10 < 5)"))
 def causal_filter_job(spark, folder):
-    """C2, D15, E2 in one job."""
-    every_place = [f"G{i}" for i in range(10)]
-    return rounded(causal_filter(event_view(spark, folder), every_place))
+    """C2, D15, E2 in one job: events of half the places, whose in-degree counts these only."""
+    return rounded(causal_filter(event_view(spark, folder), [f"G{i}" for i in range(5)]))
 
 
 @check("k4_corpus_units", with_("ev", """
