@@ -7,9 +7,9 @@ gets the shared estimate there. A document's score compares the two log-likeliho
 its length, on a scale fitted by logistic regression on a fold that the counts do not use.
 
 Counts cover all labelled rows of the counting folds: words are counted per class, the
-``VOCABULARY`` most frequent are kept, then bigrams over them, of which the ``BIGRAMS`` most frequent
-enter the broadcast model (continuation counts are taken before that cut). Both bounds limit the
-broadcast, whatever the input. The scale is fitted on at most ``SCALE_ROWS`` labelled rows.
+most frequent are kept, then bigrams over them, of which the most frequent enter the broadcast model
+(continuation counts are taken before that cut). The least count to keep is the smallest that leaves at most
+``VOCABULARY`` words or ``BIGRAMS`` bigrams, which bounds the broadcast, whatever the input. The scale is fitted on at most ``SCALE_ROWS`` labelled rows.
 
 Defined results: a null or empty text scores like the average document; repeated rows score alike;
 without labels of both classes every score is 0; extra columns pass through ``scored``.
@@ -26,9 +26,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from antecede.llm.common import WordHashes, small_batches, stored
 
-VOCABULARY = 50_000
-BIGRAMS = 1_000_000
+VOCABULARY = 40_000
+BIGRAMS = 400_000
+COUNTS = 50_000  # counts from here on are alike when the least count to keep is chosen
 SCALE_ROWS = 20_000
+BROADCAST_LABELS = 1_000_000  # labelled ids that may be broadcast
 DISCOUNT = 0.75
 FOLDS = 4
 HELD_OUT = 2  # never learned from
@@ -126,11 +128,25 @@ def _counted(rows: DataFrame, hashes: np.ndarray | None) -> DataFrame:
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"))
 
 
+def _frequent(counts: DataFrame, bound: int) -> DataFrame:
+    """The rows of the least count and above, at most ``bound``; no sort, and nothing but a histogram is collected."""
+    n = F.least(F.col("ordinary") + F.col("toxic"), F.lit(COUNTS))
+    histogram = sorted((r.n, r.rows) for r in counts.groupBy(n.alias("n")).agg(F.count("*").alias("rows")).collect())
+    least, total = COUNTS + 1, 0
+    for value, rows in reversed(histogram):
+        total += rows
+        if total > bound:
+            break
+        least = value
+    return counts.filter(n >= least)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     """(doc_id, text, label) of documents with one; labels that disagree for an id count as 1."""
-    known = labels.filter(f"doc_id is not null and {column} is not null").groupBy("doc_id").agg(
-        F.max(F.col(column).cast("int")).alias(column))
-    return docs.filter("text is not null").select("doc_id", "text").join(known, "doc_id")
+    known = stored(labels.filter(f"doc_id is not null and {column} is not null").groupBy("doc_id").agg(
+        F.max(F.col(column).cast("int")).alias(column)), "labels")
+    few = known.count() <= BROADCAST_LABELS  # else texts are shuffled to their labels
+    return docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id")
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -138,7 +154,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
     rows = labelled(docs, labels, "toxic").withColumn("fold", fold()).filter(F.col("fold") != HELD_OUT)
     rows = stored(rows.select("text", "toxic", "fold", "doc_id"), "labelled")
     counting = rows.filter(F.col("fold") != SCALE_FOLD).select("text", "toxic")
-    top = _counted(counting, None).orderBy((F.col("ordinary") + F.col("toxic")).desc(), "key").limit(VOCABULARY).toPandas()
+    top = _frequent(stored(_counted(counting, None), "words"), VOCABULARY).toPandas()
     if not top["toxic"].sum() or not top["ordinary"].sum():
         return None
     hashes = np.sort(top["key"].to_numpy(np.int64).view(np.uint64))
@@ -150,7 +166,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
         F.count("*").alias("both"), *[F.count_if(F.col(c) > 0).alias(c) for c in sides]).toPandas()
     by_context = pairs.groupBy(v.alias("v")).agg(*[F.sum(c).alias(c) for c in sides], *[
         F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in sides]).toPandas()
-    kept = pairs.orderBy((F.col("ordinary") + F.col("toxic")).desc(), "key").limit(BIGRAMS).toPandas()
+    kept = _frequent(pairs, BIGRAMS).toPandas()
 
     def dense(frame: pd.DataFrame, key: str, column: str) -> np.ndarray:
         out = np.zeros(size)
