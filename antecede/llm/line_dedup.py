@@ -27,6 +27,7 @@ from antecede.operators.components import connected_components
 TAU = 2
 MIN_CHARS = 20
 HOT_KEY = 64  # lines on one segment key beyond which it is split by signature parts
+BROADCAST_IDS = 2_000_000  # line ids that may be broadcast
 PARTS = 2 * TAU + 1  # of the signature: 2 * TAU flipped bits leave one part equal
 
 
@@ -121,12 +122,14 @@ def near_lines(lines: DataFrame) -> DataFrame:
                                    F.min("probe").alias("only_probes"), F.count_if(~F.col("probe")).alias("n")).filter(
         "lo <> hi and not only_probes").select("k", "n")
     kept = stored(keys.join(shared, "k"), "segment_keys")
-    signed = lines.join(kept.select("id").distinct(), "id", "left_semi").select(
-        "id", F.length("line").alias("chars"), signature(F.col("line")).alias("sig"))
+    ids = stored(kept.select("id").distinct(), "segment_ids")
+    few = ids.count() <= BROADCAST_IDS  # else both sides are shuffled by id
+    signed = stored(lines.select("id", "line").join(F.broadcast(ids) if few else ids, "id").select(
+        "id", "line", F.length("line").alias("chars"), signature(F.col("line")).alias("sig")), "segment_lines")
     width = 64 // PARTS + 1
     parts = F.array(*[F.concat_ws(":", F.lit(p), F.shiftrightunsigned("sig", p * width).bitwiseAND((1 << width) - 1))
                       for p in range(PARTS)])
-    rows = kept.join(signed, "id").withColumn(
+    rows = kept.join(signed.drop("line"), "id").withColumn(
         "part", F.explode(F.when(F.col("n") > HOT_KEY, parts).otherwise(F.array(F.lit("")))))
     left = rows.filter("not probe").select("k", "part", F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("chars").alias("ca"))
     right = rows.filter("probe").select("k", "part", F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("chars").alias("cb"))
@@ -134,7 +137,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
         & F.col("cb").between(F.col("ca"), F.col("ca") + TAU)
     pairs = left.join(right, (left.k == right.k) & (left.part == right.part) & close).select("a", "b").distinct()
     pairs = stored(pairs, "line_pairs")
-    texts = lines.select("id", "line")
+    texts = signed.select("id", "line")
     return pairs.join(texts.withColumnsRenamed({"id": "a", "line": "short"}), "a").join(
         texts.withColumnsRenamed({"id": "b", "line": "long"}), "b").filter(
         within_edits(F.col("long"), F.col("short"))).select("a", "b")
