@@ -2,8 +2,8 @@
 
 Two lines within ``TAU`` edits share at least one of the ``TAU + 1`` segments of the shorter one, at a
 position that the multi-match windows bound. Every distinct line indexes its own segments and probes
-the substrings of each permitted length; only keys that different lines share survive. A parity
-signature of the characters (an edit flips two bits at most) thins what a shared segment pairs, and
+the substrings of each permitted length; only keys that different lines share survive. Parity
+signatures of the characters and of their pairs (an edit flips few bits) thin what a shared segment pairs, and
 keys shared by many lines are split by parts of the signature, one of which must agree. What
 remains is verified with a banded bit-parallel edit distance. Lines linked by near copies form a class,
 of which the first occurrence stays.
@@ -61,8 +61,16 @@ def _keys(line: Column) -> tuple[list[Column], list[Column]]:
     return index, probes
 
 
+def pair_signature(line: Column) -> Column:
+    """Parities of the hashed pairs of neighbouring characters; an edit flips four at most."""
+    pairs = F.element_at(F.transform(F.array(F.split(line, "")), lambda chars: F.transform(
+        chars, lambda c, i: F.pmod(F.xxhash64(c, F.get(chars, i + 1)), F.lit(64)).cast("int"))), 1)
+    return F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, p: acc.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), p)))
+
+
 def signature(line: Column) -> Column:
-    """Parities of the characters by code modulo 64."""
+    """Parities of the characters by code modulo 64; an edit flips two at most."""
     return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(
         F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)))
 
@@ -125,15 +133,17 @@ def near_lines(lines: DataFrame) -> DataFrame:
     ids = stored(kept.select("id").distinct(), "segment_ids")
     few = ids.count() <= BROADCAST_IDS  # else both sides are shuffled by id
     signed = stored(lines.select("id", "line").join(F.broadcast(ids) if few else ids, "id").select(
-        "id", "line", F.length("line").alias("chars"), signature(F.col("line")).alias("sig")), "segment_lines")
+        "id", "line", F.length("line").alias("chars"), signature(F.col("line")).alias("sig"),
+        pair_signature(F.col("line")).alias("pairs")), "segment_lines")
     width = 64 // PARTS + 1
     parts = F.array(*[F.concat_ws(":", F.lit(p), F.shiftrightunsigned("sig", p * width).bitwiseAND((1 << width) - 1))
                       for p in range(PARTS)])
     rows = kept.join(signed.drop("line"), "id").withColumn(
         "part", F.explode(F.when(F.col("n") > HOT_KEY, parts).otherwise(F.array(F.lit("")))))
-    left = rows.filter("not probe").select("k", "part", F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("chars").alias("ca"))
-    right = rows.filter("probe").select("k", "part", F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("chars").alias("cb"))
+    left = rows.filter("not probe").select("k", "part", F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("pairs").alias("pa"), F.col("chars").alias("ca"))
+    right = rows.filter("probe").select("k", "part", F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("pairs").alias("pb"), F.col("chars").alias("cb"))
     close = (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2 * TAU) & (F.col("a") != F.col("b")) \
+        & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 4 * TAU) \
         & F.col("cb").between(F.col("ca"), F.col("ca") + TAU)
     pairs = left.join(right, (left.k == right.k) & (left.part == right.part) & close).select("a", "b").distinct()
     pairs = stored(pairs, "line_pairs")
