@@ -34,7 +34,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every whole text; rows with crc32(doc_id) mod 5 = 0 are never learned from."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = fold_is("doc_id", 5, 0)
-    weights = quality_model.fitted(docs.filter(~held_out), table(spark, folder, "labels"))
+    weights = quality_model.fitted(docs.filter(~held_out), table(spark, folder, "labels").filter(~held_out))
     return quality_model.scored(docs, weights).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
 

@@ -5,7 +5,7 @@ counts as its share of the text's words, so length does not matter. A score is t
 weights, through the logistic function.
 
 Training follows McMahan et al.: per-coordinate rates and L1, one row after another. The rows are a
-sample of at most ``TRAIN_ROWS`` labelled documents, chosen by hash of the id, and run through one task;
+sample of at most ``TRAIN_ROWS`` labelled documents, chosen from the labels by hash of the id, and run through one task;
 this bound is the operator's documented parameter. Scoring covers every document.
 
 Defined results: a null or empty text has no features and gets the bias alone; repeated rows score
@@ -87,8 +87,10 @@ def _learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fitted(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Weights by bucket, the bias last, from labelled documents."""
     small_batches(docs.sparkSession)
-    sample = labelled(docs, labels, "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_ROWS)
-    found = sample.select("text", "quality").coalesce(1).mapInPandas(_learned, "bucket long, weight double").toPandas()
+    chosen = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(
+        F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    sample = labelled(docs, chosen, "quality").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
+    found = sample.select("text", "quality").mapInPandas(_learned, "bucket long, weight double").toPandas()
     weights = np.zeros(BUCKETS + 1, np.float32)
     weights[found["bucket"].to_numpy(np.int64)] = found["weight"]
     return weights
