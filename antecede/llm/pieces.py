@@ -31,7 +31,7 @@ from antecede.llm.common import MULTIPLIER, mixed, small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORDS_AT_ONCE = 400_000  # words of a batch that are sampled together
-CHARS_AT_ONCE = 4_000_000  # characters whose lattices are held together
+CHARS_AT_ONCE = 2_000_000  # characters whose lattices are held together
 
 
 class Vocabulary:
