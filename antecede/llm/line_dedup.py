@@ -28,6 +28,7 @@ TAU = 2
 MIN_CHARS = 20
 HOT_KEY = 64  # lines on one segment key beyond which it is split by signature parts
 BROADCAST_IDS = 2_000_000  # line ids that may be broadcast
+BROADCAST_NUMBERS, DOCUMENT_COST = 8_000_000, 10  # line numbers that may be broadcast; a document counts as ten
 PARTS = 2 * TAU + 1  # of the signature: 2 * TAU flipped bits leave one part equal
 
 
@@ -173,7 +174,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Documents with their repeated lines removed, plus n_lines and n_dropped."""
-    joined = keyed(docs).join(dropped_lines(docs), ["_id", "_th"], "left").drop("_id", "_th")
+    gone = stored(dropped_lines(docs), "dropped_lines")
+    few = gone.agg(F.sum(F.size("gone") + DOCUMENT_COST)).first()[0] or 0
+    # A small table of line numbers goes to the texts; else both sides are shuffled by document.
+    joined = keyed(docs).join(F.broadcast(gone) if few <= BROADCAST_NUMBERS else gone, ["_id", "_th"], "left").drop("_id", "_th")
     # The split is bound once per row, wherever Spark evaluates the expression.
     kept = F.element_at(F.transform(F.array(F.split("text", "\n")), lambda lines: F.transform(
         F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))),
