@@ -5,14 +5,17 @@ can only reach the threshold when they share a token among the first ones of a c
 prefix), so documents are dealt into families by shared prefix tokens. A family's members are
 arranged in signature trees: a node holds the OR of its members' token bitmaps and their range of
 sizes. Two trees are traversed together, and a pair of nodes is dropped when the largest overlap that
-bitmaps and sizes allow is below what the threshold needs, or when all their members are linked already.
-Pairs of leaves that remain are compared exactly, token by token. Links that join two classes leave
-the task, at most one fewer than it has documents, never all pairs.
+bitmaps and sizes allow is below what the threshold needs, or when all their members are in one class already.
+
+Families are traversed twice. First over stored bitmaps of about eight bits a token: pairs that these do not rule
+out, directly or in steps, form narrower families. In these, texts travel, each once, and leaves are compared
+exactly, token by token. Either way only links that join two classes leave a task, at most one fewer than it has
+documents, never all pairs.
 
 The common order puts tokens that many documents hold last. How often is read from a table of
 ``SKETCH`` counters, a bound on what is broadcast; a counter shared by chance only changes the order, never
-a result. Families above ``BLOCK`` members are cut into blocks by size and smallest token, and pairs of
-blocks are tasks of their own, again after a look at sizes and bitmaps of the blocks.
+a result. Families above ``BLOCK`` members are cut into blocks by size and hash of the id, and pairs of
+blocks are tasks of their own, after a look at sizes and classes of the blocks.
 
 Shared prefix tokens give a family per document and token; a token's family is the smallest of its
 members' home families (the token of theirs that most documents share), so that a group of copies
@@ -20,12 +23,12 @@ meets in one family and not once per token, while every pair that shares a token
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; fewer
 words than a shingle make one shingle of all; rows repeating a set are linked (with empty sets: not); a
-null id takes part and sorts first as a class; extra columns pass through ``classes``.
+null id takes part and sorts first as a class; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +43,7 @@ BUCKET = np.uint64(64 - 20)  # shift from a token to its counter
 HOT_DEVIATIONS, HOT_LEAST = 6, 32  # a counter this far above the mean marks frequent tokens
 BLOCK = 2048
 LEAF = 16
+MAX_BYTES = 1024  # of a bitmap that travels; eight bits a token up to there
 NO_ID = -(1 << 63)
 
 
@@ -92,13 +96,13 @@ def _sketched(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, n, d1, d2, prefix): size, digests and prefix tokens of every document's set."""
+    """(id, n, d1, d2, prefix, bits): size, digests, prefix tokens and token bitmap of every document's set."""
     levels = docs.sparkSession.sparkContext.broadcast(_sketched(docs, width))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, level = WordHashes(), levels.value
         for batch in batches:
-            n, d1, d2, prefixes = [], [], [], []
+            n, d1, d2, prefixes, bits = [], [], [], [], []
             for text in batch["text"]:
                 found = tokens(text, hashes, width)
                 n.append(len(found))
@@ -107,9 +111,14 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 size = len(found) - -(-percent * len(found) // 100) + 1 if len(found) else 0
                 order = np.argsort(level[(found >> BUCKET).astype(np.int64)], kind="stable")[:size]
                 prefixes.append(found[order].view(np.int64))
-            yield pd.DataFrame({"id": batch["id"], "n": n, "d1": d1, "d2": d2, "prefix": prefixes})
+                n_bits = 8 * (min(MAX_BYTES, max(8, 1 << (len(found) - 1).bit_length())) if len(found) else 8)
+                flags = np.zeros(n_bits, bool)
+                flags[(found & np.uint64(n_bits - 1)).astype(np.int64)] = True
+                bits.append(np.packbits(flags, bitorder="little").tobytes())
+            yield pd.DataFrame({"id": batch["id"], "n": n, "d1": d1, "d2": d2, "prefix": prefixes, "bits": bits})
 
-    return docs.select("id", "text").mapInPandas(describe, "id long, n long, d1 long, d2 long, prefix array<long>")
+    return docs.select("id", "text").mapInPandas(
+        describe, "id long, n long, d1 long, d2 long, prefix array<long>, bits binary")
 
 
 def _families(prefixes: DataFrame) -> DataFrame:
@@ -123,6 +132,21 @@ def _families(prefixes: DataFrame) -> DataFrame:
     return homed.select("id", "token").join(family, "token").select("family", "id").distinct()
 
 
+def _sized(families: DataFrame, percent: int) -> DataFrame:
+    """Members that have another one of a size they can reach the threshold with.
+
+    Sizes are dealt into bands of that ratio: a partner lies in the same band or the next one."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    banded = families.withColumn("band", band)
+    filled = banded.groupBy("family", "band").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high"))
+    near = lambda step: filled.select("family", (F.col("band") - step).alias("band"), *[
+        F.col(c).alias(f"{c}{step + 1}") for c in ("low", "high")])
+    fits = lambda a, b: F.coalesce(100 * F.col(a) >= percent * F.col(b), F.lit(False))
+    around = filled.join(near(1), ["family", "band"], "left").join(near(-1), ["family", "band"], "left")
+    return banded.join(around, ["family", "band"]).filter(
+        (F.col("c") > 1) | fits("n", "low2") | fits("high0", "n")).select("family", "id", "n")
+
+
 def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     out = np.zeros((len(sets), bits // 64), np.uint64)
     for i, s in enumerate(sets):
@@ -162,8 +186,7 @@ class Tree:
     member that share a bit with another token of that member.
     """
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        size, maps = np.array([len(s) for s in sets]), _bitmaps(sets, bits)
+    def __init__(self, maps: np.ndarray, size: np.ndarray):
         self.levels = [(maps, size, size, size - np.bitwise_count(maps).sum(1, dtype=np.int64))]
         while len(self.levels[-1][0]) > 1:
             maps, low, high, slack = self.levels[-1]
@@ -184,58 +207,106 @@ def _possible(a: tuple, b: tuple, pairs: np.ndarray, percent: int) -> np.ndarray
     return keep[most >= _needed(low_a[i], low_b[j], percent)]
 
 
-def traversed(left: list[np.ndarray], right: list[np.ndarray] | None, classes: Classes, percent: int) -> Iterator[tuple[int, int]]:
-    """Positions of linked pairs that join two classes, by dual traversal.
+def _dual(a: Tree, b: Tree, same: bool, labels: Callable[[], np.ndarray], percent: int,
+          meet: Callable[[int, int], None]) -> None:
+    """Call ``meet`` for the pairs of members that may be linked and lie in different classes.
 
-    ``right`` None: pairs within ``left``. Positions of the right side follow those of the left.
-    """
-    largest = max(map(len, left + (right or [])))
-    bits = 1 << max(6, min(15, int(np.ceil(np.log2(8 * largest + 1)))))
-    a = Tree(left, bits)
-    b = a if right is None else Tree(right, bits)
-    shift = 0 if right is None else len(left)
-    sets = left if right is None else left + right
-    top = max(len(a.levels), len(b.levels)) - 1
+    ``labels`` gives the classes now, members of ``a`` first; ``same``: both trees are one."""
+    shift = 0 if same else len(a.levels[0][0])
     level = lambda t, k: min(k, len(t.levels) - 1)
-    frontier = [(top, np.zeros((1, 2), np.int64))]
+    children = lambda t, k, i: (np.arange(i * LEAF, min((i + 1) * LEAF, len(t.levels[k - 1][0])))
+                                if level(t, k) == k else np.array([i]))
+    frontier = [(max(len(a.levels), len(b.levels)) - 1, np.zeros((1, 2), np.int64))]
     while frontier:
         k, pairs = frontier.pop()
-        la, lb = level(a, k), level(b, k)
-        pairs = pairs[_possible(a.levels[la], b.levels[lb], pairs, percent)]
-        if right is None:
+        pairs = pairs[_possible(a.levels[level(a, k)], b.levels[level(b, k)], pairs, percent)]
+        if same:
             pairs = pairs[pairs[:, 0] <= pairs[:, 1]]
-        if not len(pairs):
-            continue
         if k == 0:
             for i, j in pairs.tolist():
-                if (right is None and i >= j) or classes.find(i) == classes.find(j + shift):
-                    continue
-                x, y = sets[i], sets[j + shift]
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * n >= percent * (len(x) + len(y) - n) and classes.join(i, j + shift):
-                    yield i, j + shift
+                if not same or i < j:
+                    meet(i, j + shift)
             continue
-        label = classes.all()
-        for part in np.array_split(pairs, -(-len(pairs) // 64)):
-            down = []
-            for i, j in part.tolist():
-                ci = np.arange(i * LEAF, min((i + 1) * LEAF, len(a.levels[la - 1][0]))) if level(a, k - 1) < la else np.array([i])
-                cj = np.arange(j * LEAF, min((j + 1) * LEAF, len(b.levels[lb - 1][0]))) if level(b, k - 1) < lb else np.array([j])
-                if k == 1:  # members: those in different classes only
-                    differ = label[ci][:, None] != label[cj + shift][None, :]
-                    x, y = np.nonzero(differ)
-                    down.append(np.stack([ci[x], cj[y]], 1))
-                else:
-                    down.append(np.stack([np.repeat(ci, len(cj)), np.tile(cj, len(ci))], 1))
+        for lo in range(0, len(pairs), 64):
+            down, label = [], labels()
+            for i, j in pairs[lo: lo + 64].tolist():
+                ci, cj = children(a, k, i), children(b, k, j)
+                grid = np.stack([np.repeat(ci, len(cj)), np.tile(cj, len(ci))], 1)
+                down.append(grid if k > 1 else grid[label[grid[:, 0]] != label[grid[:, 1] + shift]])
             frontier.append((k - 1, np.concatenate(down)))
 
 
-def _members(frame: pd.DataFrame, width: int, hashes: WordHashes) -> tuple[list[int], list[np.ndarray]]:
-    """Ids and sets, ordered so that like sets are neighbours: by size band, then smallest tokens."""
-    sets = [tokens(t, hashes, width) for t in frame["text"]]
-    order = sorted(range(len(sets)), key=lambda i: (int(np.log2(len(sets[i])) * 4), tuple(sets[i][:4].tolist()), i))
-    ids = frame["id"].tolist()
-    return [ids[i] for i in order], [sets[i] for i in order]
+class Exact:
+    """Compares sets token by token; a linked pair joins two classes."""
+
+    def __init__(self, width: int, percent: int):
+        self.width, self.percent = width, percent
+        self.hashes = WordHashes()
+
+    def loaded(self, frame: pd.DataFrame) -> tuple[list[int], list[np.ndarray]]:
+        """Ids and sets, ordered so that like sets are neighbours: by size band, then smallest tokens."""
+        sets, ids = [tokens(t, self.hashes, self.width) for t in frame["text"]], frame["id"].tolist()
+        order = sorted((i for i in range(len(sets)) if len(sets[i])), key=lambda i: (
+            int(np.log2(len(sets[i])) * 4), tuple(sets[i][:4].tolist()), i))
+        return [ids[i] for i in order], [sets[i] for i in order]
+
+    def links(self, left: list[np.ndarray], right: list[np.ndarray] | None, classes: Classes) -> list[tuple[int, int]]:
+        """Positions of linked pairs that join two classes; those of ``right`` follow those of ``left``."""
+        both, found = left + (right or []), []
+        bits = 1 << max(6, min(15, int(np.ceil(np.log2(8 * max(map(len, both)) + 1)))))
+        tree = lambda sets: Tree(_bitmaps(sets, bits), np.array([len(s) for s in sets]))
+        a = tree(left)
+
+        def meet(i: int, j: int) -> None:
+            if classes.find(i) != classes.find(j):
+                x, y = both[i], both[j]
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * n >= self.percent * (len(x) + len(y) - n):
+                    classes.join(i, j)
+                    found.append((i, j))
+
+        _dual(a, a if right is None else tree(right), right is None, classes.all, self.percent, meet)
+        return found
+
+
+class Likely:
+    """Compares bitmaps only; a pair that may be linked joins two classes. No linked pair is missed."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def loaded(self, frame: pd.DataFrame) -> tuple[list[int], list[tuple[int, bytes]]]:
+        rows = sorted(zip(frame["n"].tolist(), frame["bits"].tolist(), frame["id"].tolist()), key=lambda r: (
+            int(np.log2(r[0]) * 4), r[1][:16], r[2]))
+        return [r[2] for r in rows], [(r[0], r[1]) for r in rows]
+
+    def links(self, left: list[tuple[int, bytes]], right: list[tuple[int, bytes]] | None, classes: Classes) -> list[tuple[int, int]]:
+        found: list[tuple[int, int]] = []
+        sides = [(left, 0)] if right is None else [(left, 0), (right, len(left))]
+        groups = []  # of one bitmap width on one side: positions, maps, sizes
+        for rows, shift in sides:
+            by_width: dict[int, list[int]] = {}
+            for i, (_, bits) in enumerate(rows):
+                by_width.setdefault(len(bits), []).append(i)
+            groups.append({w: (np.array(at) + shift, np.stack([np.frombuffer(rows[i][1], np.uint64) for i in at]),
+                               np.array([rows[i][0] for i in at])) for w, at in by_width.items()})
+        for w, (at, maps, size) in groups[0].items():
+            for v, (other, maps2, size2) in groups[-1].items():
+                # Linked sets differ in size by less than half: their widths are equal or neighbours.
+                if max(w, v) > 2 * min(w, v) or (right is None and v < w):
+                    continue
+                narrow = min(w, v) // 8
+                folded = [m if m.shape[1] == narrow else m[:, :narrow] | m[:, narrow:] for m in (maps, maps2)]
+                same = right is None and v == w
+                place = at if same else np.concatenate([at, other])
+
+                def meet(i: int, j: int, place: np.ndarray = place) -> None:
+                    if classes.join(int(place[i]), int(place[j])):
+                        found.append((int(place[i]), int(place[j])))
+
+                a = Tree(folded[0], size)
+                _dual(a, a if same else Tree(folded[1], size2), same, lambda place=place: classes.all()[place], self.percent, meet)
+        return found
 
 
 def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -256,8 +327,21 @@ def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataF
         yield pd.concat(held)
 
 
-def _links(families: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) of linked representatives: within each block, then between blocks whose signatures allow it."""
+def _links(families: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) of linked representatives.
+
+    Bitmaps of all families come first. Documents that they may link, directly or in steps, are then compared
+    exactly as one family, so each text travels once."""
+    likely = _compared(families, sets.select("id", "bits", "n"), lambda: Likely(percent), percent, "likely")
+    group = connected_components(likely).select(F.col("component").alias("family"), F.col("node").alias("id"))
+    sized = group.join(sets.select("id", "n"), "id")
+    return _compared(sized, docs.select("id", "text"), lambda: Exact(width, percent), percent, "exact")
+
+
+def _compared(families: DataFrame, content: DataFrame, method: Callable, percent: int, name: str) -> DataFrame:
+    """Pairs (a, b) that ``method`` links in families (family, id, n): within each block, then between blocks whose
+    sizes and classes allow it. ``content`` has by id what the method compares."""
+    families = _sized(families.select("family", "id", "n"), percent)
     sizes = families.groupBy("family").agg(F.count("*").alias("c"))
     placed = families.join(sizes.filter("c > 1"), "family").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
     # Like sizes share a block: the larger a family, the narrower its blocks.
@@ -267,42 +351,37 @@ def _links(families: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     schema = "a long, b long"
 
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        tool = method()
         for frame in _groups(batches, ["family", "block"]):
-            ids, sets = _members(frame, width, hashes)
-            found = [(ids[i], ids[j]) for i, j in traversed(sets, None, Classes(len(sets)), percent)]
-            if found:
-                yield pd.DataFrame(found, columns=["a", "b"])
+            ids, rows = tool.loaded(frame)
+            if len(ids) > 1 and (found := tool.links(rows, None, Classes(len(ids)))):
+                yield pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"])
 
     def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        tool = method()
         for frame in _groups(batches, ["family", "left", "right"]):
-            ids_a, a = _members(frame[frame["side"] == 0], width, hashes)
-            ids_b, b = _members(frame[frame["side"] == 1], width, hashes)
+            (ids, a), (ids_b, b) = (tool.loaded(frame[frame["side"] == side]) for side in (0, 1))
             if not a or not b:
                 continue
-            ids, label = ids_a + ids_b, dict(zip(frame["id"], frame["label"]))
+            ids, label = ids + ids_b, dict(zip(frame["id"], frame["label"]))
             known, first = Classes(len(ids)), {}
             for i, id_ in enumerate(ids):
                 known.join(first.setdefault(label[id_], i), i)
-            found = [(ids[i], ids[j]) for i, j in traversed(a, b, known, percent)]
-            if found:
-                yield pd.DataFrame(found, columns=["a", "b"])
+            if found := tool.links(a, b, known):
+                yield pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"])
 
-    texts = docs.select("id", "text")
-    placed = stored(placed.select("family", "block", "blocks", "n", "id"), "blocks")
-    grouped = placed.select("family", "block", "id").join(texts, "id").repartition("family", "block").sortWithinPartitions(
+    placed = stored(placed.select("family", "block", "blocks", "n", "id"), f"{name}_blocks")
+    grouped = placed.select("family", "block", "id").join(content, "id").repartition("family", "block").sortWithinPartitions(
         "family", "block")
-    inner = stored(grouped.mapInPandas(within, schema), "inner_links")
+    inner = stored(grouped.mapInPandas(within, schema), f"{name}_inner")
     large = placed.filter("blocks > 1")
-    nodes = large.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    if nodes.isEmpty():
+    if large.isEmpty():
         return inner
     found = connected_components(inner)
     labelled = large.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "label", F.coalesce("component", "id"))
-    one = labelled.groupBy("family", "block").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
-    nodes = nodes.join(one, ["family", "block"])
+    nodes = labelled.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"),
+                                                    F.min("label").alias("l0"), F.max("label").alias("l1"))
     x, y = nodes.alias("x"), nodes.alias("y")
     pairs = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.block") < F.col("y.block"))
                    & (F.col("y.high") * 100 >= F.col("x.low") * percent) & (F.col("x.high") * 100 >= F.col("y.low") * percent)
@@ -310,10 +389,9 @@ def _links(families: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                    ).select(F.col("x.family").alias("family"), F.col("x.block").alias("left"), F.col("y.block").alias("right"))
     sides = pairs.select("family", "left", "right", F.col("left").alias("block"), F.lit(0).alias("side")).unionByName(
         pairs.select("family", "left", "right", F.col("right").alias("block"), F.lit(1).alias("side")))
-    work = sides.join(labelled.select("family", "block", "id", "label"), ["family", "block"]).join(texts, "id")
+    work = sides.join(labelled.select("family", "block", "id", "label"), ["family", "block"]).join(content, "id")
     work = work.repartition("family", "left", "right").sortWithinPartitions("family", "left", "right")
-    outer = stored(work.mapInPandas(between, schema), "outer_links")
-    return inner.unionByName(outer)
+    return inner.unionByName(stored(work.mapInPandas(between, schema), f"{name}_outer"))
 
 
 def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -329,7 +407,7 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         F.min("id").alias("head"), F.count("*").alias("copies"), F.min_by("prefix", "id").alias("prefix"))
     families = stored(_families(heads.select(F.col("head").alias("id"), "prefix")), "families")
     sizes = heads.groupBy(F.col("head").alias("id")).agg(F.max("n").alias("n"))
-    links = _links(families.join(sizes, "id"), texts, width, percent)
+    links = _links(families.join(sizes, "id"), sets.filter("n > 0"), texts, width, percent)
     copied = heads.filter("copies > 1").select("n", "d1", "d2", "head")
     copies = sets.select("id", "n", "d1", "d2").join(copied, ["n", "d1", "d2"]).filter("id <> head").select(
         F.col("id").alias("a"), F.col("head").alias("b"))
