@@ -11,8 +11,9 @@ of which the first occurrence stays.
 Only column expressions. Equal lines collapse first, so a line in a third of all documents is one
 row; a hot segment is split and never meets itself in full.
 
-Defined results: lines of fewer than ``MIN_CHARS`` characters stay and drop nothing; positions are
-ordered by document id (null first), text hash, and line number; rows repeating both id and text count
+Defined results: only lines of ``MIN_CHARS`` characters or more are probed for near copies; exact repeats go
+from ``shortest`` characters up, which is 1 in op7 and the pipeline; shorter lines, and blank ones below
+``MIN_CHARS``, stay and drop nothing; positions are ordered by document id (null first), text hash, and line number; rows repeating both id and text count
 as one document; a null text stays null. Extra columns pass through.
 """
 
@@ -20,22 +21,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from antecede.llm.common import stored
+from antecede.llm.common import WORD_PATTERN, stored
 from antecede.llm.decontamination import keyed
 from antecede.operators.components import connected_components
 
 TAU = 2
-MIN_CHARS = 20
+MIN_CHARS = 20  # of a line that is probed for near copies
 HOT_KEY = 64  # lines on one segment key beyond which it is split by signature parts
 BROADCAST_IDS = 2_000_000  # line ids that may be broadcast
 BROADCAST_NUMBERS, DOCUMENT_COST = 8_000_000, 10  # line numbers that may be broadcast; a document counts as ten
 PARTS = 2 * TAU + 1  # of the signature: 2 * TAU flipped bits leave one part equal
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
+def _occurrences(docs: DataFrame, shortest: int) -> DataFrame:
     """Lines long enough to judge, with their position."""
+    judged = (F.length("line") >= shortest) & ((F.length("line") >= MIN_CHARS) | F.col("line").rlike(WORD_PATTERN))
     return keyed(docs.select("doc_id", "text")).select(
-        "_id", "_th", F.posexplode_outer(F.split("text", "\n")).alias("no", "line")).filter(F.length("line") >= MIN_CHARS)
+        "_id", "_th", F.posexplode_outer(F.split("text", "\n")).alias("no", "line")).filter(judged)
 
 
 def _segments(length: Column) -> list[tuple[Column, Column]]:
@@ -154,12 +156,12 @@ def near_lines(lines: DataFrame) -> DataFrame:
         within_edits(F.col("long"), F.col("short"))).select("a", "b")
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     """(_id, _th, gone): the numbers of the lines that repeat an earlier line, per document."""
     at = F.struct("_id", "_th", "no")
-    lines = stored(_occurrences(docs).groupBy("line").agg(
+    lines = stored(_occurrences(docs, shortest).groupBy("line").agg(
         F.min(at).alias("first"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "lines")
-    links = stored(near_lines(lines), "line_links")
+    links = stored(near_lines(lines.filter(F.length("line") >= MIN_CHARS)), "line_links")
     component = connected_components(links)
     member = lines.join(component.withColumnRenamed("node", "id"), "id")
     head = member.groupBy("component").agg(F.min("first").alias("head"))
@@ -168,13 +170,13 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         "line", F.col("first").alias("head"))
     hashes = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")]
     heads = near.unionByName(alone).select(*hashes, "head")
-    return _occurrences(docs).select("_id", "_th", "no", *hashes).join(heads, ["h1", "h2"]).filter(
+    return _occurrences(docs, shortest).select("_id", "_th", "no", *hashes).join(heads, ["h1", "h2"]).filter(
         F.struct("_id", "_th", "no") != F.col("head")).groupBy("_id", "_th").agg(F.collect_set("no").alias("gone"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     """Documents with their repeated lines removed, plus n_lines and n_dropped."""
-    gone = stored(dropped_lines(docs), "dropped_lines")
+    gone = stored(dropped_lines(docs, shortest), "dropped_lines")
     few = gone.agg(F.sum(F.size("gone") + DOCUMENT_COST)).first()[0] or 0
     # A small table of line numbers goes to the texts; else both sides are shuffled by document.
     joined = keyed(docs).join(F.broadcast(gone) if few <= BROADCAST_NUMBERS else gone, ["_id", "_th"], "left").drop("_id", "_th")

@@ -87,7 +87,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the lines removed that repeat an earlier line, nearly or exactly."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return line_dedup.deduplicated(docs).select("doc_id", "n_lines", "n_dropped", "text")
+    return line_dedup.deduplicated(docs, shortest=1).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 @query("op10_benchmark_decontamination")

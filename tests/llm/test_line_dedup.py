@@ -70,3 +70,17 @@ def test_empty_and_very_long_texts(spark):
     long = "\n".join(f"the line number {i} of a long text" for i in range(3000))
     row = op.deduplicated(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
     assert row.n_lines == 3000 and row.n_dropped > 0
+
+
+def test_exact_repeats_of_short_lines_go_in_op7_and_the_pipeline(spark, tmp_path):
+    import corpus_pipeline
+    from antecede.llm.native_queries import op7
+
+    line = "a line that is long enough to judge"
+    docs = [(1, f"Les.\n{line}\n  \nHaanth."), (2, f"Les.\n{line}\n  \nHaanth."), (3, f"Les.\n  \nmine\nmine, too"), (4, "Lez.")]
+    spark.createDataFrame([(i, t, len(t)) for i, t in docs], "doc_id long, text string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in op7(spark, str(tmp_path)).collect()}
+    assert got == {1: (docs[0][1], 0), 2: ("  ", 3), 3: ("  \nmine\nmine, too", 1), 4: ("Lez.", 0)}
+    kept = corpus_pipeline.drop_repeated_lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
