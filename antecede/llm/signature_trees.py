@@ -22,8 +22,9 @@ members' home families (the token of theirs that most documents share), so that
 meets in one family and not once per token, while every pair that shares a token still meets.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; fewer
-words than a shingle make one shingle of all; rows repeating a set are linked (with empty sets: not); a
-null id takes part and sorts first as a class; extra columns are ignored.
+words than a shingle make one shingle of all; rows repeating a set are linked (with empty sets: not); rows
+that share an id, or have none, are linked by their texts only; a null id sorts first as a class; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from antecede.llm.common import WordHashes, mixed, rolled, small_batches, stored
 from antecede.operators.components import connected_components
@@ -96,7 +97,7 @@ def _sketched(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, n, d1, d2, prefix, bits): size, digests, prefix tokens and token bitmap of every document's set."""
+    """(id, doc_id, n, d1, d2, prefix, bits): size, digests, prefix tokens and token bitmap of every document's set."""
     levels = docs.sparkSession.sparkContext.broadcast(_sketched(docs, width))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,10 +116,10 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 flags = np.zeros(n_bits, bool)
                 flags[(found & np.uint64(n_bits - 1)).astype(np.int64)] = True
                 bits.append(np.packbits(flags, bitorder="little").tobytes())
-            yield pd.DataFrame({"id": batch["id"], "n": n, "d1": d1, "d2": d2, "prefix": prefixes, "bits": bits})
+            yield pd.DataFrame({"id": batch["id"], "doc_id": batch["doc_id"], "n": n, "d1": d1, "d2": d2, "prefix": prefixes, "bits": bits})
 
-    return docs.select("id", "text").mapInPandas(
-        describe, "id long, n long, d1 long, d2 long, prefix array<long>, bits binary")
+    return docs.select("id", "doc_id", "text").mapInPandas(
+        describe, "id long, doc_id long, n long, d1 long, d2 long, prefix array<long>, bits binary")
 
 
 def _families(prefixes: DataFrame) -> DataFrame:
@@ -394,13 +395,26 @@ def _compared(families: DataFrame, content: DataFrame, method: Callable, percent
     return inner.unionByName(stored(work.mapInPandas(between, schema), f"{name}_outer"))
 
 
-def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row; component_id is the smallest id reachable over links.
+def row_key(docs: DataFrame) -> Column:
+    """Key of a row: equal where id and text are, and different elsewhere.
+
+    The id is the key as long as it tells texts apart; a hash of id and text is it for rows without
+    an id, and for all rows when any id has two texts.
+    """
+    doc_id, hashed = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "text")
+    th = F.xxhash64(F.coalesce("text", F.lit("")))
+    shared = docs.filter("doc_id is not null").select(doc_id.alias("id"), th.alias("th")).groupBy("id").agg(
+        F.min("th").alias("lo"), F.max("th").alias("hi")).filter("lo <> hi")
+    return F.coalesce(doc_id, hashed) if shared.isEmpty() else hashed
+
+
+def keyed_classes(docs: DataFrame, key: Column, width: int, percent: int) -> DataFrame:
+    """(id, doc_id, n_shingles, component) for every row, by row key; an absent doc_id is NO_ID.
 
-    Rows without an id count as one document, and so do rows that share one.
+    ``component`` is a key of the class, and the row's own where it is linked with nothing.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    texts = docs.select(key.alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     sets = stored(_sets(texts, width, percent), "sets")
     # One representative for each set; two digests and the size tell sets apart.
     heads = sets.filter("n > 0").groupBy("n", "d1", "d2").agg(
@@ -412,7 +426,19 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     copies = sets.select("id", "n", "d1", "d2").join(copied, ["n", "d1", "d2"]).filter("id <> head").select(
         F.col("id").alias("a"), F.col("head").alias("b"))
     found = connected_components(links.unionByName(copies))
+    return sets.select("id", "doc_id", F.col("n").alias("n_shingles")).join(
+        found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row; component_id is the smallest id reachable over links.
+
+    Rows that repeat both id and text count as one document; no others are linked by their ids.
+    """
+    rows = stored(keyed_classes(docs, row_key(docs), width, percent), "class_rows")
+    # Where the ids are the keys, a component is its smallest id already.
+    smallest = rows.groupBy("component").agg(F.min("doc_id").alias("low")).filter("low <> component")
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return sets.select("id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
-        "component_id", F.coalesce("component", "id")).select(
-        known("id").alias("doc_id"), "n_shingles", known("component_id").alias("component_id"))
+    return rows.join(smallest, "component", "left").withColumn(
+        "component_id", F.coalesce("low", "component")).select(
+        known("doc_id").alias("doc_id"), "n_shingles", known("component_id").alias("component_id"))
