@@ -248,9 +248,9 @@ def applied_review(spark, folder):
 
 @check("j20_expansion_levels")
 def expansion_levels(spark, folder):
-    """Two levels of cause scoring from the day's seeds, following the best two candidates."""
+    """Three levels of cause scoring from the day's seeds, following the best five candidates."""
     from antecede.operators import dashboard as D, precedence as P
 
     events = checkpointed(P.low_in_degree(event_view(spark, folder)))
     seeds = D.daily_seeds(events).select("GlobalEventID").distinct()
-    return expand(events, seeds, depth=2, follow=2)
+    return expand(events, seeds)
