@@ -14,6 +14,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 BREAK_PATTERN = r"[\x20\x09-\x0D]+"
 CACHE_WORDS = 200_000  # entries after which a task's cache of word hashes starts anew
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+SMALL_ROWS = 100_000  # of a side that may be broadcast
+SALTS = 16
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
@@ -44,6 +46,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def joined_small(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join to a side with one row a key: broadcast up to ``SMALL_ROWS`` rows, else repeated for each of
+    ``SALTS`` salts, so that a hot key of ``rows`` goes to as many tasks."""
+    if side.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(side), keys)
+    salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, in order: maximal runs without ASCII white space."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BREAK_PATTERN), lambda w: w != "")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
-MODULES = ("native_queries", "model_queries", "pair_queries", "file_queries")
+MODULES = ("native_queries", "model_queries", "pair_queries", "file_queries", "audit_queries")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
