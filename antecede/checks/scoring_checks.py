@@ -183,7 +183,7 @@ def token_idf(spark, folder):
     FROM probe JOIN tgt USING (id)"""))
 def rarest_probes(spark, folder):
     events = stored(spark, folder)
-    stats, _, _ = K1.token_tables(events)
+    stats = K1.token_tables(events)[0]
     probes = A.pair_probes(A.actor_pairs(targets_of(events)), stats)
     return rounded(probes.select("Actor1Name", "Actor2Name", F.inline("probes")))
 
@@ -192,8 +192,8 @@ def rarest_probes(spark, folder):
     SELECT cc, strftime(c_date, '%Y-%m-%d') AS c_date, c_rc, t AS token, h AS hits FROM hits"""))
 def token_hits(spark, folder):
     events = stored(spark, folder)
-    stats, matches, _ = K1.token_tables(events)
-    return K1.group_hits(events, matches, A.usable(stats).select("token")).withColumn("c_date", F.col("c_date").cast("string"))
+    stats, matches, _, pairs = K1.token_tables(events)
+    return K1.group_hits(events, matches, A.usable(stats).select("token"), pairs).withColumn("c_date", F.col("c_date").cast("string"))
 
 
 @check("c8_documented_groups", with_("doc", """

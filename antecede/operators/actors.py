@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from antecede.functions.codes import ACTOR_MAX_SHARE, ACTOR_PROBES, STOP_ACTORS
+from antecede.operators.heavyjoin import heavy_join
 
 MIN_TOKEN = 3
 
@@ -45,22 +46,26 @@ def distinct_names(pairs: DataFrame) -> DataFrame:
         "name <> ''").distinct()
 
 
-def with_matches(rows: DataFrame, matches: DataFrame) -> DataFrame:
-    """Add ``matched``: the tokens found in either actor name."""
+def name_counts(pairs: DataFrame, side: str) -> DataFrame:
+    return pairs.groupBy(side).agg(F.sum("n").alias("n"))
+
+
+def with_matches(rows: DataFrame, matches: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Add ``matched``: the tokens found in either actor name. ``pairs`` says which names are common, so that rows of
+    one name are split over tasks."""
     first = matches.select(F.col("name").alias("Actor1Name"), F.col("matched").alias("m1"))
     second = matches.select(F.col("name").alias("Actor2Name"), F.col("matched").alias("m2"))
     none = F.array().cast("array<string>")
     both = F.array_union(F.coalesce("m1", none), F.coalesce("m2", none))
-    return (
-        rows.join(first, "Actor1Name", "left").join(second, "Actor2Name", "left")
-        .withColumn("matched", both).drop("m1", "m2")
-    )
+    named = heavy_join(rows, first, ["Actor1Name"], "left", name_counts(pairs, "Actor1Name"))
+    named = heavy_join(named, second, ["Actor2Name"], "left", name_counts(pairs, "Actor2Name"))
+    return named.withColumn("matched", both).drop("m1", "m2")
 
 
 def token_stats(pairs: DataFrame, matches: DataFrame, tokens: DataFrame) -> DataFrame:
     """df, share and idf of every token; a token found nowhere has df 0."""
     total = pairs.agg(F.sum("n")).scalar()
-    found = with_matches(pairs, matches).select(F.explode("matched").alias("token"), "n").groupBy(
+    found = with_matches(pairs, matches, pairs).select(F.explode("matched").alias("token"), "n").groupBy(
         "token").agg(F.sum("n").alias("df"))
     return tokens.join(found, "token", "left").select(
         "token", F.coalesce("df", F.lit(0)).alias("df")

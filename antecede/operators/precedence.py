@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from antecede.functions.codes import MAX_IN_DEGREE, WINDOW_DAYS, or_default
 from antecede.functions.dates import date_of_day, day_number
+from antecede.operators.heavyjoin import heavy_join
+from antecede.session import checkpointed
 
 
 def with_pair_key(events: DataFrame) -> DataFrame:
@@ -71,8 +73,8 @@ def pair_days(keyed: DataFrame, window_days: int = WINDOW_DAYS,
 def trailing_in_degree(events: DataFrame, window_days: int = WINDOW_DAYS) -> DataFrame:
     """Events plus ``causal_in_degree``: same-key events 7 to 1 days before."""
     keyed = with_pair_key(events)
-    days = pair_days(keyed, window_days).select("pair_key", "event_date", "causal_in_degree")
-    return keyed.join(days, ["pair_key", "event_date"])
+    days = checkpointed(pair_days(keyed, window_days).select("pair_key", "event_date", "n", "causal_in_degree"))
+    return heavy_join(keyed, days.drop("n"), ["pair_key", "event_date"], counts=days)
 
 
 def low_in_degree(events: DataFrame, window_days: int = WINDOW_DAYS,

@@ -120,8 +120,8 @@ def bm25_scores(docs: DataFrame, questions: DataFrame) -> DataFrame:
     """(question_id, node, score) for every node sharing a term with the question.
 
     ``docs`` has (node, text); ``questions`` has (question_id, question). Only the postings
-    of question terms are ever joined."""
-    tokens = docs.select("node", question_tokens(F.col("text")).alias("tokens"))
+    of question terms are ever joined. Texts are tokenised once, into a stored table."""
+    tokens = checkpointed(docs.select("node", question_tokens(F.col("text")).alias("tokens")))
     lengths = tokens.select("node", F.size("tokens").alias("length"))
     totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg_len"))
     n, avg_len = totals.select("n").scalar(), totals.select("avg_len").scalar()

@@ -8,6 +8,7 @@ from antecede.functions.dates import date_of_day
 from antecede.functions.rounding import steady_round
 from antecede.functions.urls import hostname, is_alive, normalize_url, outlet
 from antecede.operators.events import has_url
+from antecede.operators.ordering import with_running_total
 
 
 def url_queue(events: DataFrame) -> DataFrame:
@@ -87,12 +88,11 @@ def fetch_summary(records: DataFrame, corpus_hosts: DataFrame, top_hosts: int =
         share(F.col("complete_html")).alias("complete_html_share"),
         F.count_if(good).alias("extracted"),
     )
-    # The upper median is found from a length histogram with running totals.
+    # The upper median comes from a length histogram with running totals over range partitions.
     lengths = records.filter(good).groupBy("text_length").agg(F.count("*").alias("n"))
-    running = F.sum("n").over(Window.orderBy("text_length"))
-    everything = F.sum("n").over(Window.partitionBy())
-    median = lengths.withColumns({"upto": running, "all": everything}).filter(
-        F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("text_length"))
+    half = F.floor(lengths.agg(F.sum("n")).scalar() / 2)
+    median = with_running_total(lengths, [F.col("text_length")], F.col("n")).filter(
+        F.col("before") + F.col("n") > half).agg(F.min("text_length"))
     return total.withColumn("median_text_length", median.scalar())
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from antecede.functions.ids import content_version
 from antecede.operators import causalgraph as G
 from antecede.operators.components import connected_components, label_all
+from antecede.operators.ordering import with_position
 from antecede.operators.similarity import bm25_scores
 from antecede.session import checkpointed
 
@@ -66,24 +67,27 @@ def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def explain(graph_nodes: DataFrame, edges: DataFrame, questions: DataFrame, docs: DataFrame, keep: int = 5,
-            direction: str = "causes") -> tuple[DataFrame, DataFrame, DataFrame]:
+            direction: str = "causes", chosen: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(grounding, shown chains, coverage) for many questions at once.
 
-    ``docs`` has (node, text). Each question is answered for its best cluster; the grounding
-    says when another cluster matches about as well."""
+    ``docs`` has (node, text) and ``graph_nodes`` (id, search_status). Each question is answered for its best cluster, or
+    the one in ``chosen``; the grounding says when another matches about as well or none does."""
     scores = checkpointed(bm25_scores(docs, questions))
-    grounding, targets = G.grounded(scores, clusters(graph_nodes, edges))
+    grounding, targets = G.grounded(scores, clusters(graph_nodes, edges), questions, chosen)
     targets = checkpointed(targets)
     shown = checkpointed(G.explained(edges, targets, scores, keep, direction))
-    return grounding, shown, G.coverage(edges, targets, shown, direction)
+    return grounding, shown, G.coverage(edges, graph_nodes, targets, shown, direction)
 
 
 def topics(edges: DataFrame, nodes: DataFrame, direction: str = "causes") -> DataFrame:
-    """Starting points: traced events newest first, or causes by how much lies downstream."""
+    """Starting points with their place in the list: traced events newest first, or causes by how much lies
+    downstream. ``nodes`` has (id, date)."""
     if direction == "effects":
         starts = edges.select(F.col("source").alias("target")).distinct()
-        hops = G.chains(edges, starts, direction="effects").select(
-            "target", F.explode("edges").alias("e")).distinct()
-        return hops.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("downstream_links"))
+        sizes = G.subgraph_sizes(edges, G.reached(edges, starts, G.MAX_DEPTH - 1, "effects"), direction="effects")
+        rows = sizes.select(F.col("target").alias("node"), F.col("n_edges").alias("downstream_links"))
+        return with_position(rows, [-F.col("downstream_links"), F.col("node")], "place")
     traced = edges.filter("expansion_level = 1").select(F.col("target").alias("id")).distinct()
-    return traced.join(nodes, "id").select(F.col("id").alias("node"), "date")
+    rows = traced.join(nodes, "id").select(F.col("id").alias("node"), "date")
+    rows = with_position(rows, [F.coalesce("date", F.lit("")), F.col("node")], "from_oldest")
+    return rows.withColumn("place", rows.agg(F.count("*")).scalar() + 1 - F.col("from_oldest")).drop("from_oldest")

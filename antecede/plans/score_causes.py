@@ -17,7 +17,9 @@ from antecede.functions.codes import (
 from antecede.functions.dates import day_of_date
 from antecede.functions.rounding import steady_round
 from antecede.operators import actors as A
+from antecede.operators.heavyjoin import heavy_join
 from antecede.operators.typepairs import type_pair_matrix
+from antecede.session import checkpointed
 
 PLACE, ROOT, DATE = "ActionGeo_CountryCode", "EventRootCode", "event_date"
 
@@ -35,24 +37,24 @@ def candidate_groups(events: DataFrame) -> DataFrame:
         (F.sum("g") / F.sum("g_n")).alias("avg_goldstein"), F.min("rep").alias("rep_id"))
 
 
-def group_hits(events: DataFrame, matches: DataFrame, tokens: DataFrame) -> DataFrame:
+def group_hits(events: DataFrame, matches: DataFrame, tokens: DataFrame, pairs: DataFrame) -> DataFrame:
     """How many events of each group name each of the ``tokens``."""
     counts = events.groupBy(
         F.col(PLACE).alias("cc"), F.col(DATE).alias("c_date"), padded_root(F.col(ROOT)).alias("c_rc"),
         "Actor1Name", "Actor2Name").agg(F.count("*").alias("k"))
-    return A.with_matches(counts, matches).select(
+    return A.with_matches(counts, matches, pairs).select(
         "cc", "c_date", "c_rc", F.explode("matched").alias("token"), "k"
     ).groupBy("cc", "c_date", "c_rc", "token").agg(F.sum("k").alias("hits")).join(tokens, "token")
 
 
-def token_tables(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Token statistics, tokens matched per name, and probes per actor pair."""
-    pairs = A.actor_pairs(events)
+def token_tables(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Token statistics, tokens matched per name, probes per actor pair, and the pairs with their counts."""
+    pairs = checkpointed(A.actor_pairs(events))
     names = A.distinct_names(pairs)
     tokens = names.select(F.explode(A.name_tokens(F.col("name"))).alias("token")).distinct()
-    matches = A.name_matches(names, tokens)
+    matches = checkpointed(A.name_matches(names, tokens))
     stats = A.token_stats(pairs, matches, tokens)
-    return stats, matches, A.pair_probes(pairs, stats)
+    return stats, matches, A.pair_probes(pairs, stats), pairs
 
 
 def documented_groups(targets: DataFrame, events: DataFrame) -> DataFrame:
@@ -84,7 +86,7 @@ def score_windows(events: DataFrame, windows: DataFrame, documented: DataFrame)
     ``documented`` is keyed by (target_id, arm, c_date, c_rc). ``events`` is read several
     times, so pass a stored table rather than a long plan."""
     key = ["target_id", "arm", "cc", "target_root", "t_date", "c_date", "c_rc"]
-    token_table, matches, probes = token_tables(events)
+    token_table, matches, probes, pairs = token_tables(events)
     usable = A.usable(token_table).select("token")
     groups = candidate_groups(events).filter(F.col("event_count") >= MIN_GROUP_EVENTS)
     stats = ["event_count", "domains", "avg_goldstein", "rep_id"]
@@ -93,13 +95,13 @@ def score_windows(events: DataFrame, windows: DataFrame, documented: DataFrame)
     found = days.join(groups, ["cc", "c_date"]).select(
         *key, *stats, F.lit(0.0).alias("hit"), F.lit(0.0).alias("doc"))
 
-    probed = windows.join(probes, ["Actor1Name", "Actor2Name"]).select(
+    probed = heavy_join(windows, probes, ["Actor1Name", "Actor2Name"], counts=pairs).select(
         "target_id", "arm", "cc", "target_root", "t_date", "first_date", "last_date",
         F.explode("probes").alias("p"),
     ).withColumn("c_date", F.explode(F.sequence("first_date", "last_date"))).withColumns(
         {"token": F.col("p.token"), "weight": F.col("p.weight")})
     null = lambda name: F.lit(None).cast(groups.schema[name].dataType).alias(name)
-    hits = probed.join(group_hits(events, matches, usable), ["cc", "c_date", "token"]).select(
+    hits = probed.join(group_hits(events, matches, usable, pairs), ["cc", "c_date", "token"]).select(
         *key, *[null(s) for s in stats], (F.col("weight") * F.col("hits")).alias("hit"),
         F.lit(0.0).alias("doc"))
     linked = windows.join(documented, ["target_id", "arm"]).filter(

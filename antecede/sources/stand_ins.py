@@ -174,8 +174,9 @@ def graph_inputs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     strength = F.round(F.col("strength") / 3, 4)
     row = lambda role, action, relation: judged.select(
         "claim_id", e, c, F.lit(role).alias("role"), action.alias("action"), relation.alias("relation_type"),
-        strength.alias("strength"), "evidence_quality", F.lit(1).alias("corroboration_count"),
-        F.lit("ai_assisted").alias("label_source"))
+        strength.alias("strength"), "evidence_quality", ((e + c) % 4).cast("int").alias("corroboration_count"),
+        F.lit("ai_assisted").alias("label_source"), F.concat(F.lit("reader"), (e % 3).cast("string")).alias("annotator"),
+        F.concat(F.lit("2024-03-0"), (c % 9 + 1).cast("string")).alias("reviewed_at"))
     primary = row("primary", F.col("decision"), F.col("relation"))
     human = row("human-review", F.when((e + c) % 2 == 0, "accept").otherwise("reject"),
                 F.when((e + c) % 4 == 0, "ESCALATES")).filter((e * 3 + c) % 29 == 0)
@@ -187,6 +188,12 @@ def graph_inputs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         n.alias("id"), F.lit("event").alias("kind"), "event_date", F.col("day").cast("string").alias("date"),
         F.array_compact(F.array(F.nullif("Actor1Name", F.lit("")), F.col("Actor2Name"))).alias("actors"),
         F.when(n % 3 == 0, "PARENTS_FOUND").when(n % 3 == 1, "NOT_YET_REVIEWED").alias("search_status"))
+    # The effect's article carries most links, the cause's article every third, some claims name none.
+    url = lambda k: F.concat(F.lit("https://src"), (k % 20).cast("string"), F.lit(".example/a/"), k.cast("string"))
+    span = lambda k, held: F.when(held, F.struct(k.alias("article_id"), (k % 40).cast("int").alias("start"),
+                                                 (k % 40 + 25).cast("int").alias("end"), url(k).alias("url")))
+    evidence = claims.select("claim_id", F.explode(F.array_compact(F.array(
+        span(e, (e + c) % 7 != 0), span(c, c % 3 == 0)))).alias("s")).select("claim_id", "s.*")
     later = events.filter(n > 0).filter(n % 50 < 3)
     merges = later.select(
         n.alias("node_a"), (n - 1).alias("node_b"), F.lit("same").alias("decision"),
@@ -201,5 +208,5 @@ def graph_inputs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
             "expansion_level", "cause_date", "effect_date",
             F.array_distinct(F.array(label(c), label(e))).alias("outlets")),
         "annotations": primary.unionByName(human).unionByName(blind), "nodes": nodes,
-        "merges": merges.unionByName(corrected),
+        "merges": merges.unionByName(corrected), "evidence": evidence,
     }
