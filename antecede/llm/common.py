@@ -46,13 +46,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def joined_small(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join to a side with one row a key: broadcast up to ``SMALL_ROWS`` rows, else repeated for each of
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def joined_small(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", limit: int | None = None) -> DataFrame:
+    """Join to a side with one row a key: broadcast up to ``limit`` rows (``SMALL_ROWS``), else repeated for each of
     ``SALTS`` salts, so that a hot key of ``rows`` goes to as many tasks."""
-    if side.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        return rows.join(F.broadcast(side), keys)
+    limit = SMALL_ROWS if limit is None else limit
+    if side.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(side), keys, how)
     salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
 def words_of(text: Column) -> Column:

@@ -5,6 +5,10 @@ same template as the original. Template windows of documents meet the windows of
 a hash join; windows on one diagonal (document position minus item position) form a match, which
 counts when it covers enough of the item and every item value maps to one document value.
 
+A capital within a sentence marks a name. Where neighbours are capitalised too (shouted text, titles) that tells nothing, so such
+documents give a second sequence of windows, without names, which meets the items' windows without names. Values of
+names are compared either way.
+
 Only column expressions. The benchmark side is broadcast when its counted windows stay below
 ``BROADCAST_WINDOWS``; beyond it, both sides are shuffled by window hash. Documents are exploded
 into window hashes without their text, and only rows that hit the benchmark travel.
@@ -19,9 +23,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from antecede.llm.common import stored
+from antecede.llm.common import free_names, joined_small, stored
 
 WINDOW = 8
+BROADCAST_KEYS = 500_000  # row keys that may be broadcast
 MIN_COVERED = 13  # tokens of an item that a match covers, or the whole item where it is shorter
 MIN_LITERALS = 4
 BROADCAST_WINDOWS = 1_000_000
@@ -49,26 +54,31 @@ def _split(text: Column) -> Column:
 
 
 def with_tokens(df: DataFrame) -> DataFrame:
-    """Add ``template`` and ``values``: tokens with and without placeholders, position by position."""
+    """Add ``template`` and ``values``: tokens with and without placeholders, position by position; and ``plain``, the template
+    without names, and whether the text is ``shouted``: whether names stand side by side."""
     marked = df.withColumn("_marked", _marked(F.coalesce("text", F.lit(""))))
     named = F.regexp_replace("_marked", rf"([{SPACE}])\p{{Lu}}[^{SPACE}]*", "$1<name>")
-    numbered = F.regexp_replace(named, r"[0-9][0-9.,]*", "<num>")
+
+    def typed(text: Column) -> Column:
+        numbered = F.regexp_replace(text, r"[0-9][0-9.,]*", "<num>")
+        return F.transform(_split(numbered), lambda w: F.when(w.isin(*UNITS), "<unit>").otherwise(w))
+
     return marked.withColumns({
-        "template": F.transform(_split(numbered), lambda w: F.when(w.isin(*UNITS), "<unit>").otherwise(w)),
-        "values": _split(F.col("_marked")),
+        "template": typed(named), "values": _split(F.col("_marked")), "plain": typed(F.col("_marked")),
+        "shouted": F.col("_marked").rlike(rf"[{SPACE}]\p{{Lu}}[^{SPACE}]*[{SPACE}]+\p{{Lu}}"),
     }).drop("_marked")
 
 
-def _windows(width: int) -> Column:
+def _windows(width: int, tokens: str = "template") -> Column:
     """Hashes of the template windows of one width, by position."""
-    return F.transform(F.slice("template", 1, F.greatest(F.size("template") - width + 1, F.lit(0))),
-                       lambda _, i: F.xxhash64(F.lit(width), F.slice("template", i + 1, width)))
+    return F.transform(F.slice(tokens, 1, F.greatest(F.size(tokens) - width + 1, F.lit(0))),
+                       lambda _, i: F.xxhash64(F.lit(width), F.slice(tokens, i + 1, width)))
 
 
-def _literals(width: int) -> Column:
-    return F.transform(F.slice("template", 1, F.greatest(F.size("template") - width + 1, F.lit(0))),
+def _literals(width: int, tokens: str) -> Column:
+    return F.transform(F.slice(tokens, 1, F.greatest(F.size(tokens) - width + 1, F.lit(0))),
                        lambda _, i: F.size(F.array_distinct(F.filter(
-                           F.slice("template", i + 1, width), lambda w: ~w.startswith("<")))))
+                           F.slice(tokens, i + 1, width), lambda w: ~w.startswith("<")))))
 
 
 def _covered(at: Column, width: Column) -> Column:
@@ -77,17 +87,21 @@ def _covered(at: Column, width: Column) -> Column:
         (acc["n"] + F.least(width, p - acc["last"])).alias("n"), p.alias("last")))["n"]
 
 
+def row_key() -> tuple[Column, Column]:
+    """Id (null-safe) and hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """Add the row key: id (null-safe) and a hash of the text."""
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
-                             "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    """Add the row key as ``_id`` and ``_th``."""
+    return docs.withColumns(dict(zip(("_id", "_th"), row_key())))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
     """Distinct items with their tokens and the width of their windows."""
     one = benchmark.filter("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
     return with_tokens(one).filter(F.size("template") > 0).select(
-        "item_id", "template", "values", F.least(F.lit(WINDOW), F.size("template")).alias("width"))
+        "item_id", "template", "values", "plain", F.least(F.lit(WINDOW), F.size("template")).alias("width"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -99,17 +113,19 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         widths = [WINDOW]
     wanted = None
     for w in widths:
-        part = items.filter(F.col("width") == w).select(
-            "item_id", F.posexplode_outer(F.arrays_zip(_windows(w).alias("h"), _literals(w).alias("n"))).alias("item_at", "x")
-        ).filter(F.col("x.n") >= F.least(F.lit(MIN_LITERALS), F.lit(w))).select("item_id", "item_at", F.col("x.h").alias("h"))
-        wanted = part if wanted is None else wanted.unionByName(part)
-    wanted = stored(wanted, "item_windows")
+        for tokens in ("template", "plain"):
+            part = items.filter(F.col("width") == w).select("item_id", F.posexplode_outer(F.arrays_zip(
+                _windows(w, tokens).alias("h"), _literals(w, tokens).alias("n"))).alias("item_at", "x")).filter(
+                F.col("x.n") >= F.least(F.lit(MIN_LITERALS), F.lit(w))).select("item_id", "item_at", F.col("x.h").alias("h"))
+            wanted = part if wanted is None else wanted.unionByName(part)
+    wanted = stored(wanted.distinct(), "item_windows")
     if wanted.count() <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)
     seen = with_tokens(keyed(docs.select("doc_id", "text"))).select(
-        "_id", "_th", *[_windows(w).alias(f"w{w}") for w in widths])
-    for w in widths:  # the outer form keeps Spark from filtering on the array's size, which repeats its expression
-        part = seen.select("_id", "_th", F.posexplode_outer(f"w{w}").alias("doc_at", "h")).join(wanted, "h").select(
+        "_id", "_th", *[_windows(w).alias(f"w{w}") for w in widths],
+        *[F.when(F.col("shouted"), _windows(w, "plain")).alias(f"p{w}") for w in widths])
+    for w in [f"{kind}{w}" for w in widths for kind in "wp"]:  # the outer form keeps Spark from filtering on the array's size, which repeats its expression
+        part = seen.select("_id", "_th", F.posexplode_outer(w).alias("doc_at", "h")).join(wanted, "h").select(
             "_id", "_th", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), "item_at")
         hits = part if hits is None else hits.unionByName(part)
     # A diagonal holds at most the windows of its item.
@@ -117,8 +133,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("item_at")).alias("at")), "runs")
     sized = runs.join(items, "item_id").withColumn("covered", _covered(F.col("at"), F.col("width"))).filter(
         F.col("covered") >= F.least(F.lit(MIN_COVERED), F.size("template")))
-    texts = keyed(docs.select("doc_id", "text")).join(runs.select("_id", "_th").distinct(), ["_id", "_th"]).dropDuplicates(
-        ["_id", "_th"])
+    met = runs.select("_id", "_th").distinct()
+    texts = joined_small(keyed(docs.select("doc_id", "text")), met, ["_id", "_th"], limit=BROADCAST_KEYS).dropDuplicates(["_id", "_th"])
     valued = with_tokens(texts).select("_id", "_th", F.col("values").alias("doc_values"))
     slots = F.array_distinct(F.filter(F.flatten(F.transform("at", lambda a: F.transform(
         F.sequence(F.lit(0), F.col("width") - 1), lambda o: F.struct(
@@ -153,4 +169,7 @@ def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    return keyed(docs).join(verdicts(docs, benchmark).select("_id", "_th"), ["_id", "_th"], "left_anti").drop("_id", "_th")
+    found = stored(verdicts(docs, benchmark).select("_id", "_th"), "contaminated")
+    found = F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
+    id_, th = free_names(docs, "_id", "_th")
+    return docs.withColumns(dict(zip((id_, th), row_key()))).join(found.toDF(id_, th), [id_, th], "left_anti").drop(id_, th)

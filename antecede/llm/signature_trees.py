@@ -14,8 +14,8 @@ documents, never all pairs.
 
 The common order puts tokens that many documents hold last. How often is read from a table of
 ``SKETCH`` counters, a bound on what is broadcast; a counter shared by chance only changes the order, never
-a result. Families above ``BLOCK`` members are cut into blocks by size and hash of the id, and pairs of
-blocks are tasks of their own, after a look at sizes and classes of the blocks.
+a result. Families above ``BLOCK`` members are cut into blocks by size, and by hash of the id where a size alone has so many; pairs of
+blocks are tasks of their own, after a look at sizes and classes of the blocks and of each member that would travel.
 
 Shared prefix tokens give a family per document and token; a token's family is the smallest of its
 members' home families (the token of theirs that most documents share), so that a group of copies
@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from antecede.llm.common import WordHashes, mixed, rolled, small_batches, stored
+from antecede.llm.common import WordHashes, joined_small, mixed, rolled, small_batches, stored
 from antecede.operators.components import connected_components
 
 SKETCH, SLICES, SHARDS = 1 << 20, 16, 256
@@ -344,11 +344,12 @@ def _compared(families: DataFrame, content: DataFrame, method: Callable, percent
     sizes and classes allow it. ``content`` has by id what the method compares."""
     families = _sized(families.select("family", "id", "n"), percent)
     sizes = families.groupBy("family").agg(F.count("*").alias("c"))
-    placed = families.join(sizes.filter("c > 1"), "family").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
-    # Like sizes share a block: the larger a family, the narrower its blocks.
-    band = F.floor(F.log2(F.col("n").cast("double")) * 4).cast("int")
-    placed = placed.withColumn("block", F.when(F.col("blocks") == 1, 0).otherwise(
-        band * F.col("blocks") + F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    placed = families.join(sizes.filter("c > 1"), "family").withColumn("band", F.when(F.col("c") <= BLOCK, -1).otherwise(
+        F.floor(F.log2(F.col("n").cast("double")) * 4)).cast("int"))
+    # A large family is cut into bands of like sizes, and a band of more than a block by hash of the id.
+    parts = placed.groupBy("family", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    placed = placed.join(parts, ["family", "band"]).withColumn("block", F.col("band").cast("long") * (1 << 32) + F.pmod(
+        F.xxhash64("id"), F.col("parts")))
     schema = "a long, b long"
 
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -371,11 +372,11 @@ def _compared(families: DataFrame, content: DataFrame, method: Callable, percent
             if found := tool.links(a, b, known):
                 yield pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"])
 
-    placed = stored(placed.select("family", "block", "blocks", "n", "id"), f"{name}_blocks")
+    placed = stored(placed.select("family", "block", "band", "n", "id"), f"{name}_blocks")
     grouped = placed.select("family", "block", "id").join(content, "id").repartition("family", "block").sortWithinPartitions(
         "family", "block")
     inner = stored(grouped.mapInPandas(within, schema), f"{name}_inner")
-    large = placed.filter("blocks > 1")
+    large = placed.filter("band >= 0")
     if large.isEmpty():
         return inner
     found = connected_components(inner)
@@ -387,10 +388,17 @@ def _compared(families: DataFrame, content: DataFrame, method: Callable, percent
     pairs = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.block") < F.col("y.block"))
                    & (F.col("y.high") * 100 >= F.col("x.low") * percent) & (F.col("x.high") * 100 >= F.col("y.low") * percent)
                    & ~((F.col("x.l0") == F.col("x.l1")) & (F.col("y.l0") == F.col("y.l1")) & (F.col("x.l0") == F.col("y.l0")))
-                   ).select(F.col("x.family").alias("family"), F.col("x.block").alias("left"), F.col("y.block").alias("right"))
-    sides = pairs.select("family", "left", "right", F.col("left").alias("block"), F.lit(0).alias("side")).unionByName(
-        pairs.select("family", "left", "right", F.col("right").alias("block"), F.lit(1).alias("side")))
-    work = sides.join(labelled.select("family", "block", "id", "label"), ["family", "block"]).join(content, "id")
+                   ).select(F.col("x.family").alias("family"), F.col("x.block").alias("left"), F.col("y.block").alias("right"),
+                            *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("low", "high", "l0", "l1")])
+    # A block's members travel where the other block has a size they can be linked with and a class that is not theirs.
+    side = lambda own, other, number: pairs.select(
+        "family", "left", "right", F.col(own).alias("block"), F.lit(number).alias("side"),
+        *[F.col(f"{other}_{c}").alias(c) for c in ("low", "high", "l0", "l1")])
+    sides = side("left", "y", 0).unionByName(side("right", "x", 1))
+    work = sides.join(labelled.select("family", "block", "id", "label", "n"), ["family", "block"]).filter(
+        (F.col("high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("low") * percent)
+        & ~((F.col("l0") == F.col("label")) & (F.col("l1") == F.col("label")))).select(
+        "family", "left", "right", "side", "id", "label").join(content, "id")
     work = work.repartition("family", "left", "right").sortWithinPartitions("family", "left", "right")
     return inner.unionByName(stored(work.mapInPandas(between, schema), f"{name}_outer"))
 
@@ -408,10 +416,11 @@ def row_key(docs: DataFrame) -> Column:
     return F.coalesce(doc_id, hashed) if shared.isEmpty() else hashed
 
 
-def keyed_classes(docs: DataFrame, key: Column, width: int, percent: int) -> DataFrame:
+def keyed_classes(docs: DataFrame, key: Column, width: int, percent: int, known: DataFrame | None = None) -> DataFrame:
     """(id, doc_id, n_shingles, component) for every row, by row key; an absent doc_id is NO_ID.
 
-    ``component`` is a key of the class, and the row's own where it is linked with nothing.
+    ``component`` is a key of the class, and the row's own where it is linked with nothing. ``known`` has links (a, b)
+    between keys that hold whatever the texts are.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(key.alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
@@ -425,7 +434,8 @@ def keyed_classes(docs: DataFrame, key: Column, width: int, percent: int) -> Dat
     copied = heads.filter("copies > 1").select("n", "d1", "d2", "head")
     copies = sets.select("id", "n", "d1", "d2").join(copied, ["n", "d1", "d2"]).filter("id <> head").select(
         F.col("id").alias("a"), F.col("head").alias("b"))
-    found = connected_components(links.unionByName(copies))
+    links = links.unionByName(copies) if known is None else links.unionByName(copies).unionByName(known)
+    found = connected_components(links)
     return sets.select("id", "doc_id", F.col("n").alias("n_shingles")).join(
         found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
@@ -437,8 +447,7 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """
     rows = stored(keyed_classes(docs, row_key(docs), width, percent), "class_rows")
     # Where the ids are the keys, a component is its smallest id already.
-    smallest = rows.groupBy("component").agg(F.min("doc_id").alias("low")).filter("low <> component")
-    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return rows.join(smallest, "component", "left").withColumn(
-        "component_id", F.coalesce("low", "component")).select(
-        known("doc_id").alias("doc_id"), "n_shingles", known("component_id").alias("component_id"))
+    named = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
+    smallest = rows.groupBy("component").agg(F.min(named).alias("low")).filter("low IS NULL OR low <> component")
+    return joined_small(rows, smallest.withColumn("other", F.lit(True)), ["component"], "left").select(
+        named.alias("doc_id"), "n_shingles", F.when(F.col("other"), F.col("low")).otherwise(F.col("component")).alias("component_id"))

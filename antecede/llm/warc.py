@@ -213,7 +213,8 @@ def read(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    files = manifest.select("path").repartition("path")
+    # A task per archive: the table of paths is tiny, and without a number its partitions would be merged into one.
+    files = manifest.select("path").repartition(max(manifest.count(), 1), "path")
     return files.mapInArrow(parse, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 

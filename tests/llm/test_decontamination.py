@@ -1,3 +1,5 @@
+import random
+
 from antecede.llm import decontamination as op
 
 ITEM = "A train leaves the northern station at 9 with 40 guests and Anna pays 40 euros for the long trip home"
@@ -19,7 +21,47 @@ def test_copies_and_swapped_values_are_caught_and_inconsistent_slots_are_not(spa
             (7, ITEM.upper()), (1, f"Something before. {ITEM}. Something after.")]
     assert _flags(spark, docs) == {
         (1, True, 1, False), (2, True, 1, True), (3, False, None, False), (4, False, None, False), (5, False, None, False),
-        (6, False, None, False), (None, True, 1, False), (7, False, None, False)}
+        (6, False, None, False), (None, True, 1, False), (7, True, 1, False)}
+
+
+def test_shouted_and_title_case_copies_are_caught(spark):
+    other = "the quick meeting of old friends near Paris took 3 hours and cost each guest a small fortune in tea"
+    docs = [(1, "Loud text. " + ITEM.upper() + " AND MORE OF IT"), (2, ITEM.title()), (3, "So it went: " + other.upper()), (4, other.title()),
+            (5, "A PLAIN SHOUTED TEXT WITHOUT ANY OF THE ITEMS IN IT AT ALL"), (6, BROKEN.upper())]
+    assert {(i, c, item) for i, c, item, _ in _flags(spark, docs, ((1, ITEM), (2, other)))} == {
+        (1, True, 1), (2, True, 1), (3, True, 2), (4, True, 2), (5, False, None), (6, False, None)}
+
+
+def test_clashing_columns_stay(spark):
+    d = spark.createDataFrame([(1, ITEM, "x", 5), (2, "clean text", "y", 6)], "doc_id long, text string, _id string, _th int")
+    b = spark.createDataFrame([(1, ITEM, 0)], BENCH)
+    kept = op.clean(d, b)
+    assert kept.columns == d.columns and [tuple(r) for r in kept.collect()] == [(2, "clean text", "y", 6)]
+
+
+def _plain(text):
+    """Lower-case words with digits only, as the brute-force search reads them."""
+    return [w.strip(".,!?:;").lower() for w in (text or "").split()]
+
+
+def test_documents_that_hold_thirteen_words_of_an_item_are_flagged(spark):
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in ("gar", "hel", "mon", "pit", "rus", "tav", "wol") for b in ("an", "em", "ik", "od", "ul", "yr")]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, line(rng.choice([14, 20, 30]))) for i in range(12)]
+    docs = []
+    for i in range(120):
+        text = line(rng.randrange(0, 40))
+        if i % 3 == 0:
+            item = rng.choice(items)[1].split()
+            at = rng.randrange(0, max(1, len(item) - 16))
+            part = " ".join(item[at: at + rng.randrange(9, 20)])
+            text += " " + rng.choice([str, str.upper, str.title])(part) + " " + line(5)
+        docs.append((i, text))
+    runs = {tuple(_plain(t)[k: k + 13]) for _, t in items for k in range(len(_plain(t)) - 12)}
+    want = {i for i, t in docs if any(tuple(_plain(t)[k: k + 13]) in runs for k in range(len(_plain(t)) - 12))}
+    got = {r[0] for r in _flags(spark, docs, items) if r[1]}
+    assert want and got == want
 
 
 def test_part_of_an_item_needs_enough_tokens(spark):
