@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from antecede.checks import check
 from antecede.checks.base import define, with_
+from antecede.functions.codes import CONDITION_LABELS
 from antecede.operators import articles as A, evaluation as V, mentions as M, review as R
 from antecede.plans.expand import expand
 from antecede.session import checkpointed
@@ -136,6 +137,39 @@ def span_audit(spark, folder):
     return V.span_audit(docs, spans)
 
 
+define("kept_sent", "SELECT * FROM sent WHERE NOT (article_id % 11 = 0 AND sentence_id = 2)", "sent")
+define("cands", """
+    SELECT article_id, sentence_id AS span_id, CAST(sentence_id AS BIGINT) + CAST(article_id % 7 = 0 AS INT) AS rank,
+           start + CAST(article_id % 19 = 0 AS INT) AS start, "end" FROM sent
+    WHERE sentence_id <= CASE WHEN article_id % 17 = 0 THEN 4 ELSE 3 END""", "sent")
+
+
+@check("d31_article_audit", with_("kept_sent cands", r"""
+    , d AS (SELECT doc_id AS article_id, text FROM documents WHERE text IS NOT NULL),
+    gap AS (SELECT article_id, coalesce(max("end") OVER (PARTITION BY article_id ORDER BY start, "end"
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, start AS e FROM kept_sent
+            UNION ALL SELECT d.article_id, coalesce(k.e, 0), length(text) FROM d
+            LEFT JOIN (SELECT article_id, max("end") AS e FROM kept_sent GROUP BY article_id) k ON k.article_id = d.article_id),
+    c AS (SELECT c.*, row_number() OVER (PARTITION BY c.article_id ORDER BY rank, span_id) AS place, k.start AS ks, k."end" AS ke
+          FROM cands c LEFT JOIN kept_sent k ON k.article_id = c.article_id AND k.sentence_id = c.span_id)
+    SELECT article_id, 'article-text-hash-mismatch' AS rule FROM d WHERE article_id % 13 = 0
+    UNION SELECT g.article_id, 'article-text-not-covered' FROM gap g JOIN d ON d.article_id = g.article_id
+      WHERE e > s AND regexp_matches(substr(text, CAST(s AS BIGINT) + 1, CAST(e - s AS BIGINT)), '\S')
+    UNION SELECT article_id, 'too-many-candidates' FROM c WHERE place > 3
+    UNION SELECT article_id, 'unknown-candidate' FROM c WHERE ks IS NULL OR ks <> start OR ke <> "end"
+    UNION SELECT article_id, 'rank-mismatch' FROM c WHERE rank <> place"""))
+def article_audit(spark, folder):
+    """Pinned texts, coverage and candidate ranks, each wrong for a part of the articles."""
+    n, k = F.col("article_id"), F.col("span_id")
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("article_id"), "text").filter("text is not null")
+    pinned = docs.withColumn("text_sha256", F.sha2(F.when(n % 13 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256))
+    spans = checkpointed(sentences_of(spark, folder).select("article_id", F.col("sentence_id").alias("span_id"), "start", "end"))
+    listed = spans.filter(k <= F.when(n % 17 == 0, 4).otherwise(3)).select(
+        "article_id", "span_id", (k + F.when(n % 7 == 0, 1).otherwise(0)).alias("rank"),
+        (F.col("start") + F.when(n % 19 == 0, 1).otherwise(0)).alias("start"), "end")
+    return V.article_audit(pinned, spans.filter(~((n % 11 == 0) & (k == 2))), listed)
+
+
 define("records", f"""
     SELECT doc_id AS article_id, {SPLIT.replace('article_id', 'doc_id')} AS split,
            CASE WHEN doc_id % 19 = 0 THEN 'UNREVIEWED' WHEN quality = 0 THEN 'UNSUITABLE' ELSE 'REVIEWED' END AS review_status,
@@ -254,3 +288,55 @@ def expansion_levels(spark, folder):
     events = checkpointed(P.low_in_degree(event_view(spark, folder)))
     seeds = D.daily_seeds(events).select("GlobalEventID").distinct()
     return expand(events, seeds)
+
+
+@check("h35_label_problems", """
+    SELECT d.doc_id AS article_id, 'no-screening-decision' AS rule FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL
+    UNION ALL SELECT doc_id, 'no-focal-decision' FROM labels JOIN (SELECT doc_id FROM documents) USING (doc_id)
+      WHERE quality <> 0 AND doc_id % 10 = 3
+    UNION ALL SELECT doc_id, 'support-not-in-article' FROM labels JOIN (SELECT doc_id FROM documents) USING (doc_id)
+      WHERE quality <> 0 AND doc_id % 10 <> 3 AND doc_id % 6 <> 0 AND doc_id % 8 = 1""")
+def label_problems(spark, folder):
+    """Articles without a decision, and supports that lie beyond the article."""
+    n = F.col("article_id")
+    articles = table(spark, folder, "documents").select(F.col("doc_id").alias("article_id"), F.lit(9).alias("sentences"))
+    labels = table(spark, folder, "labels").withColumnRenamed("doc_id", "article_id")
+    screening = labels.select("article_id", F.when(F.col("quality") == 0, "UNRELATED").alias("exclusion_reason"), F.lit("").alias("reason"))
+    focal = labels.filter(n % 10 != 3).select(
+        "article_id", F.when(n % 6 == 0, "UNSUITABLE").otherwise("FOCAL").alias("decision"), F.lit(None).cast("string").alias("focal_reason"),
+        F.array(F.lit(1), F.when(n % 8 == 1, 12).otherwise(2)).alias("support"), F.lit(1).alias("core"))
+    return V.applied_labels(articles, screening, focal)[1]
+
+
+@check("h32_condition_labels", """
+    SELECT vec_id AS id, CASE vec_id % 4 WHEN 0 THEN 'ongoing' WHEN 1 THEN 'ended' ELSE 'unclear' END AS status,
+           CASE WHEN label % 3 = 0 THEN 'shortage' WHEN label % 3 = 1 THEN 'policy' ELSE 'other' END AS kind,
+           CASE WHEN vec_id % 5 = 0 THEN 'protest_cause' ELSE 'context' END AS role FROM embeddings""")
+def condition_labels(spark, folder):
+    """Labels outside their lists, or missing, become the default."""
+    n, k = F.col("vec_id"), F.col("label")
+    rows = table(spark, folder, "embeddings").select(
+        n.alias("id"), F.when(n % 4 == 0, "ongoing").when(n % 4 == 1, "ended").when(n % 4 == 2, "paused").alias("status"),
+        F.when(k % 3 == 0, "shortage").when(k % 3 == 1, "policy").otherwise("SHORTAGE").alias("kind"),
+        F.when(n % 5 == 0, "protest_cause").when(n % 5 == 1, "cause").otherwise("context").alias("role"))
+    return M.with_known_labels(rows, CONDITION_LABELS)
+
+
+@check("h33_added_mentions", with_("ev", """
+    , m AS (SELECT GlobalEventID AS id, GlobalEventID // 3 AS art, GlobalEventID % 3 AS s, GlobalEventID % 5 <> 0 AS ok FROM ev),
+    a AS (SELECT id, art, s, ok, false AS extra FROM m UNION ALL SELECT -1 - id, art, 0, true, true FROM m WHERE s = 1),
+    lead AS (SELECT *, row_number() OVER (PARTITION BY art ORDER BY ok AND s = f DESC, s, extra, id) AS rn
+             FROM (SELECT a.*, min(s) FILTER (NOT extra) OVER (PARTITION BY art) AS f FROM a))
+    SELECT id AS mention_id, CASE WHEN ok THEN 'REVIEWED' ELSE 'REJECTED' END AS review_status, ok AND s = f AND rn = 1 AS focal FROM lead"""))
+def added_mentions(spark, folder):
+    """Each article's reviewer adds a mention to its first sentence, behind the proposed one."""
+    n = F.col("GlobalEventID")
+    proposals = checkpointed(event_view(spark, folder).select(
+        n.alias("mention_id"), F.floor(n / 3).alias("article_id"), (n % 3).alias("sentence_id"), F.lit(0).alias("evidence_start"),
+        F.col("EventRootCode").alias("event_type"), F.lit("asserted").alias("status"), F.array("Actor1Name").alias("actors"),
+        F.lit(True).alias("focal")))
+    verdicts = proposals.select("mention_id", F.when(F.col("mention_id") % 5 != 0, "accept").otherwise("reject").alias("verdict"),
+                                F.lit("unclear").alias("reason"), "event_type", "status", "actors")
+    added = proposals.filter("sentence_id = 1").withColumns({
+        "mention_id": -1 - F.col("mention_id"), "sentence_id": F.lit(0).cast("long"), "evidence_start": F.lit(5)})
+    return M.applied_review(proposals, verdicts, added).select("mention_id", "review_status", "focal")

@@ -10,7 +10,8 @@ from antecede.functions.codes import number_or, or_default
 from antecede.functions.dates import date_of_day, month_label, month_of_day
 from antecede.operators import events as E, precedence as P
 from antecede.plans.causal_filter import causal_filter
-from antecede.plans.corpus import corpus_units
+from antecede.plans.corpus import corpus_build, corpus_units
+from antecede.session import checkpointed
 from antecede.sources.stand_ins import event_view
 from antecede.sources.tables import in_codes, read_events
 
@@ -237,6 +238,26 @@ def corpus_job(spark, folder):
     return corpus_units(events, "G4", status).select("unit_id", "source_url", "root")
 
 
+@check("k4_corpus_queue", with_("ev", """
+    , u AS (SELECT *, regexp_replace(SOURCEURL, '/a/([0-9]+)$', '/a/') || (GlobalEventID // 400) || '#' || (GlobalEventID % 3) AS raw FROM ev
+            WHERE ActionGeo_CountryCode = 'G4' AND EventRootCode IN ('14', '18', '19', '20') AND (GlobalEventID * 7) % 20 <> 3)
+    SELECT split_part(raw, '#', 1) AS url_key, count(*) AS units, min(raw) AS source_url,
+           (SELECT count(DISTINCT raw) FROM u) AS source_url_rows, (SELECT count(DISTINCT split_part(raw, '#', 1)) FROM u) AS unique_url_keys
+    FROM u GROUP BY split_part(raw, '#', 1)"""))
+def corpus_queue(spark, folder):
+    """The whole build: filters, live URLs, units, and the queue of their URL keys; events of one source share pages by parts of them."""
+    events = event_view(spark, folder)
+    n = F.col("GlobalEventID")
+    shared = F.concat(F.regexp_replace("SOURCEURL", r"/a/[0-9]+$", "/a/"), F.floor(n / 400).cast("string"), F.lit("#"), (n % 3).cast("string"))
+    live = url_status(events).filter("alive")
+    pages = events.join(live.select(F.col("url").alias("SOURCEURL")), "SOURCEURL", "left_semi").withColumn("SOURCEURL", shared)
+    status = pages.select(F.col("SOURCEURL").alias("url"), F.lit(True).alias("alive")).distinct()
+    units, queue, summary = corpus_build(checkpointed(pages), "G4", status)
+    counted = units.groupBy("url_key").agg(F.count("*").alias("units")).join(queue, "url_key")
+    totals = checkpointed(summary)
+    return counted.withColumns({c: totals.select(c).scalar() for c in ("source_url_rows", "unique_url_keys")})
+
+
 def url_status(events):
     """A status per source URL: 404 for one residue of the event id, else 200."""
     code = F.when((F.col("GlobalEventID") * 7) % 20 == 3, 404).otherwise(200)

@@ -433,8 +433,8 @@ def expansion_frontier(spark, folder):
         "stopped", F.coalesce("stopped", F.lit("")))
 
 
-@check("j14_search_statuses", with_("xe", """
-    , reached AS (SELECT DISTINCT source AS node FROM xe WHERE review_status = 'ACCEPTED'
+define("xstatus", """
+    WITH reached AS (SELECT DISTINCT source AS node FROM xe WHERE review_status = 'ACCEPTED'
                   UNION SELECT GlobalEventID FROM ev WHERE EventRootCode = '14')
     SELECT node, CASE WHEN node IN (SELECT source FROM xe WHERE review_status = 'ACCEPTED')
                        AND node NOT IN (SELECT target FROM xe) AND event_date < DATE '2024-01-03' THEN 'OUT_OF_SCOPE'
@@ -444,9 +444,16 @@ def expansion_frontier(spark, folder):
                       WHEN node IN (SELECT effect_id FROM claims WHERE claim_id NOT IN (SELECT claim_id FROM xe))
                         OR node NOT IN (SELECT target FROM xe) THEN 'NOT_YET_REVIEWED'
                       ELSE 'NO_SUPPORTED_PARENT_FOUND' END AS search_status
-    FROM reached JOIN ev ON GlobalEventID = node"""))
+    FROM reached JOIN ev ON GlobalEventID = node""", "xe", "ev", "claims")
+
+
+@check("j14_search_statuses", with_("xstatus", "SELECT * FROM xstatus"))
+
 def search_statuses(spark, folder):
-    claims, edges, nodes = expansion(spark, folder)
+    return statuses_of(spark, folder, *expansion(spark, folder))
+
+
+def statuses_of(spark, folder, claims, edges, nodes):
     seeds = event_view(spark, folder).filter("EventRootCode = '14'").select(F.col("GlobalEventID").alias("node"))
     found = edges.filter("review_status = 'ACCEPTED'").select(F.col("source").alias("node")).unionByName(seeds)
     searched = edges.select(F.col("target").alias("node")).distinct()
@@ -464,13 +471,37 @@ def convergence(spark, folder):
     SELECT node, min(depth) AS depth FROM walk GROUP BY node""", """walk(node, depth) AS (
         SELECT GlobalEventID, 0 FROM ev WHERE EventRootCode = '14'
         UNION SELECT e.source, w.depth + 1 FROM walk w JOIN xe e ON e.target = w.node
-        WHERE e.review_status = 'ACCEPTED' AND w.depth < 60)"""))
+        WHERE e.review_status = 'ACCEPTED')"""))
 def depths(spark, folder):
     _, edges, _ = expansion(spark, folder)
     seeds = event_view(spark, folder).filter("EventRootCode = '14'").select(F.col("GlobalEventID").alias("node"))
     return G.shortest_depths(edges.filter("review_status = 'ACCEPTED'"), seeds)
 
 
+@check("d37_expansion_summary", with_("xe xstatus jc", """
+    , acc AS (SELECT * FROM xe WHERE review_status = 'ACCEPTED'),
+    lv AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node),
+    sh AS (SELECT source AS node, count(*) AS n FROM acc GROUP BY source)
+    SELECT 'accepted_edges' AS measure, '' AS key, count(*) AS value FROM acc
+    UNION ALL SELECT 'edges_by_level', CAST(expansion_level AS VARCHAR), count(*) FROM acc JOIN jc USING (claim_id) GROUP BY expansion_level
+    UNION ALL SELECT 'max_depth', '', max(depth) FROM lv
+    UNION ALL SELECT 'nodes_by_depth', CAST(depth AS VARCHAR), count(*) FROM lv GROUP BY depth
+    UNION ALL SELECT 'nodes_reached', '', count(*) FROM xstatus
+    UNION ALL SELECT 'search_status', search_status, count(*) FROM xstatus GROUP BY search_status
+    UNION ALL SELECT 'shared_causes', '', count(*) FROM sh WHERE n > 1
+    UNION ALL SELECT 'most_shared', CAST(node AS VARCHAR), n FROM (SELECT * FROM sh ORDER BY n DESC, node LIMIT 5)""",
+    """walk(node, depth) AS (
+        SELECT GlobalEventID, 0 FROM ev WHERE EventRootCode = '14'
+        UNION SELECT e.source, w.depth + 1 FROM walk w JOIN xe e ON e.target = w.node WHERE e.review_status = 'ACCEPTED')""").replace(
+    "    , acc AS", ", acc AS"))
+def expansion_totals(spark, folder):
+    """Edges by level, nodes by depth and status, shared causes."""
+    claims, edges, nodes = (checkpointed(df) for df in expansion(spark, folder))
+    seeds = event_view(spark, folder).filter("EventRootCode = '14'").select(F.col("GlobalEventID").alias("node"))
+    return G.expansion_summary(claims, edges, statuses_of(spark, folder, claims, edges, nodes),
+                               G.shortest_depths(edges.filter("review_status = 'ACCEPTED'"), seeds))
+
+
 @check("j12_cycle", with_("xe", """
     SELECT 'accepted' AS graph, CAST(count(*) > 0 AS INTEGER) AS cycles FROM below WHERE start = node
     UNION ALL SELECT 'with conditions', CAST(count(*) > 0 AS INTEGER) FROM around WHERE n = (SELECT min(target) FROM acc WHERE target % 5 = 0)""", """

@@ -272,3 +272,14 @@ def arms_of(spark, folder):
     FROM best GROUP BY arm"""))
 def control_arms(spark, folder):
     return K2.arm_summary(arms_of(spark, folder))
+
+
+@check("d22_discrimination", with_("best", """
+    , share AS (SELECT arm, grade, round(round(count(*) / sum(count(*)) OVER (PARTITION BY arm), 9), 4) AS share FROM best GROUP BY arm, grade),
+    names AS (SELECT unnest(['confirmed', 'reported', 'pattern', 'weak', 'dropped']) AS grade)
+    SELECT n.grade, CASE WHEN coalesce(s.share, 0) > 0 THEN round(round(coalesce(r.share, 0) / s.share, 9), 2) END AS discrimination
+    FROM names n LEFT JOIN share r ON r.grade = n.grade AND r.arm = 'real'
+    LEFT JOIN share s ON s.grade = n.grade AND s.arm = 'shuffled'"""))
+def grade_discrimination(spark, folder):
+    """How much oftener each grade falls on real windows than on shuffled ones."""
+    return K2.discrimination(checkpointed(K2.arm_summary(arms_of(spark, folder))))

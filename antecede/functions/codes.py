@@ -116,3 +116,10 @@ def padded_root(value: Column) -> Column:
 def number_or(value: Column, default: float = 0.0) -> Column:
     """NULL and NaN become ``default``."""
     return F.coalesce(F.nanvl(value.cast("double"), F.lit(None).cast("double")), F.lit(default))
+
+# Labels of an extracted condition, and what stands for anything else.
+CONDITION_LABELS = {
+    "status": (("ongoing", "ended", "unclear"), "unclear"),
+    "kind": (("policy", "shortage", "violence", "economic", "governance", "other"), "other"),
+    "role": (("protest_cause", "context"), "context"),
+}

@@ -134,6 +134,37 @@ def span_audit(articles: DataFrame, spans: DataFrame) -> DataFrame:
     return checked.select("article_id", "span_id", F.explode(rules).alias("rule"))
 
 
+def article_audit(articles: DataFrame, spans: DataFrame, candidates: DataFrame, most: int = 3) -> DataFrame:
+    """(article_id, rule) that a record breaks as a whole: a text that is not the pinned one, words outside all spans, and
+    candidate sentences that are too many, unknown, repeated or out of rank.
+
+    ``articles`` has (article_id, text, text_sha256), ``spans`` (article_id, span_id, start, end) and ``candidates``
+    (article_id, span_id, rank, start, end). An article's spans are ordered in one group: a few hundred."""
+    texts = articles.select("article_id", F.col("text").alias("article_text"), "text_sha256")
+    pinned = texts.filter(~F.sha2("article_text", 256).eqNullSafe(F.col("text_sha256"))).select(
+        "article_id", F.lit("article-text-hash-mismatch").alias("rule"))
+    order = Window.partitionBy("article_id").orderBy("start", "end")
+    ends = spans.withColumn("until", F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    gaps = ends.select("article_id", F.col("until").alias("s"), F.col("start").alias("e"))
+    last = texts.select("article_id", F.length("article_text").alias("e")).join(
+        spans.groupBy("article_id").agg(F.max("end").alias("s")), "article_id", "left").select(
+        "article_id", F.coalesce("s", F.lit(0)).alias("s"), "e")
+    words = F.substring(F.col("article_text"), F.col("s") + 1, F.col("e") - F.col("s")).rlike(r"\S")
+    bare = gaps.unionByName(last).filter("e > s").join(texts, "article_id").filter(words).select(
+        "article_id", F.lit("article-text-not-covered").alias("rule"))
+    ids = spans.groupBy("article_id", "span_id").agg(F.count("*").alias("times"), F.min(F.struct("start", "end")).alias("own"))
+    place = F.row_number().over(Window.partitionBy("article_id").orderBy("rank", "span_id"))
+    listed = candidates.withColumns({
+        "place": place, "listings": F.count("*").over(Window.partitionBy("article_id", "span_id"))}).join(
+        ids, ["article_id", "span_id"], "left")
+    rules = F.array_compact(F.array(
+        F.when(F.col("place") > most, "too-many-candidates"),
+        F.when(F.col("times").isNull() | (F.col("own") != F.struct("start", "end")), "unknown-candidate"),
+        F.when((F.col("times") > 1) | (F.col("listings") > 1), "ambiguous-candidate"),
+        F.when(F.col("rank") != F.col("place"), "rank-mismatch")))
+    return pinned.unionByName(bare).unionByName(listed.select("article_id", F.explode(rules).alias("rule"))).distinct()
+
+
 def blinded(records: DataFrame, snapshot: Sequence[str], split: str = "split") -> DataFrame:
     """Null every column of a test record that is not part of its frozen snapshot, so a field
     nobody thought of cannot leak a draft to its reviewer."""
