@@ -24,7 +24,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every whole text; rows with crc32(doc_id) mod 4 = 2 are never learned from."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.fitted(docs, table(spark, folder, "labels"))
-    return toxicity.scored(docs, model).select(
+    return toxicity.scores(docs, model, ["doc_id"]).select(
         "doc_id", fold_is("doc_id", toxicity.FOLDS, toxicity.HELD_OUT).alias("held_out"), "score",
         (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 

@@ -1,18 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
-Two models, of toxic and of ordinary documents, over one vocabulary; words outside it are one symbol.
-P(w | v) discounts the class's bigram counts, backs off to the class's continuation shares of w, and
+Two models, of toxic and of ordinary documents, over all words of the counting folds; a text's first word follows a start
+symbol. P(w | v) discounts the class's bigram counts, backs off to the class's continuation shares of w, and
 these to continuation shares over both classes together, so an expression that one class hardly has
-gets the shared estimate there. A document's score compares the two log-likelihoods, normalised by
-its length, on a scale fitted by logistic regression on a fold that the counts do not use.
+gets the shared estimate there. A document's score compares the two log-likelihoods, normalised by its length (by the number
+of words and by its root), beside the largest ratio of its words' own shares (at least that of an unknown word), on a scale fitted by
+logistic regression on a fold that the counts do not use.
 
-Counts cover all labelled rows of the counting folds: words are counted per class, the
-most frequent are kept, then bigrams over them, of which the most frequent enter the broadcast model
-(continuation counts are taken before that cut). The least count to keep is the smallest that leaves at most
-``VOCABULARY`` words or ``BIGRAMS`` bigrams, which bounds the broadcast, whatever the input. The scale is fitted on at most ``SCALE_ROWS`` labelled rows.
+The log-likelihood ratio of a text is a sum over its words: a value for each word as what follows, one for each as what precedes, and a
+correction for each bigram that was counted. All of these are entries of one stored table, which grows with the data. The
+``HEAD`` most frequent entries are broadcast; the others are joined: a filter of ``SLICES`` slices of bits, also broadcast and of fixed
+size, tells which of a text's words and bigrams may be among them, and only these travel, with their number in the text. A false
+alarm of the filter finds no entry, so nothing is lost or added. Keys that many texts hold are split.
+
+The scale is fitted on about ``SCALE_ROWS`` labelled rows at most, chosen by a hash of their id.
 
 Defined results: a null or empty text scores like the average document; repeated rows score alike;
-without labels of both classes every score is 0; extra columns pass through ``scored``.
+without labels of both classes every score is 0; extra columns pass through ``scored``, whose score takes the place of a column of that name.
 """
 
 from __future__ import annotations
@@ -24,18 +28,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from antecede.llm.common import WordHashes, small_batches, stored
+from antecede.llm.common import MULTIPLIER, WordHashes, free_names, mixed, small_batches, stored
+from antecede.operators.heavyjoin import heavy_join
 
-VOCABULARY = 40_000
-BIGRAMS = 400_000
-COUNTS = 50_000  # counts from here on are alike when the least count to keep is chosen
+HEAD = 400_000  # entries that are broadcast; the rest is joined
+COUNTS = 50_000  # counts from here on are alike when the least count of the head is chosen
+SLICES, SLICE_BITS = 64, 21  # of the filter of the other entries: 2 ** 21 bits each
 SCALE_ROWS = 20_000
 BROADCAST_LABELS = 1_000_000  # labelled ids that may be broadcast
-DISCOUNT = 0.75
+BROADCAST_KEYS = 500_000  # row keys that may be broadcast
+DISCOUNT = 0.95
 FOLDS = 4
 HELD_OUT = 2  # never learned from
 SCALE_FOLD = 3  # fits the scale
 STRIP = b".,;:!?\"'()[]{}%&$*#|<>"
+START = np.uint64(0x1D8E4E27C47D124F)  # stands for what precedes the first word
+FOLLOWS, PRECEDES = 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85  # tell the keys of a word's two values apart
+SIDES = ("ordinary", "toxic")
 
 
 def fold(key: str = "doc_id", folds: int = FOLDS) -> Column:
@@ -47,75 +56,40 @@ def words(text: str) -> list[bytes]:
     return [w.strip(STRIP) for w in text.lower().encode("utf-8", "surrogatepass").split()]
 
 
-class _Ids(dict):
-    """Vocabulary number of a word; 0 outside the vocabulary."""
-
-    def __missing__(self, word: bytes) -> int:
-        return 0
+def _pairs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What precedes each word, and the key of the bigram."""
+    before = np.concatenate([[START], hashes[:-1]]) if len(hashes) else hashes
+    return before, mixed(before * MULTIPLIER + hashes)
 
 
 @dataclass
 class Model:
-    hashes: np.ndarray  # sorted word hashes of the vocabulary; the number of a word is its place + 1
-    bigrams: np.ndarray  # sorted v * size + w
-    gain: np.ndarray  # log-likelihood ratio of a listed bigram
-    context: np.ndarray  # log of the back-off weight ratio by context v
-    word: np.ndarray  # log of the class continuation ratio by word w
-    scale: np.ndarray = None
-
-    def ratio(self, ids: np.ndarray) -> float:
-        """Toxic less ordinary log-likelihood of consecutive words."""
-        if len(ids) < 2:
-            return 0.0
-        v, w = ids[:-1], ids[1:]
-        key = v * (len(self.hashes) + 1) + w
-        at = np.minimum(np.searchsorted(self.bigrams, key), len(self.bigrams) - 1)
-        return float(np.where(self.bigrams[at] == key, self.gain[at], self.context[v] + self.word[w]).sum())
-
-
-def _numbers(hashes: np.ndarray):
-    """words -> vocabulary numbers, with a bounded cache."""
-    cache, hash_of = {}, WordHashes()
+    keys: np.ndarray  # sorted keys of the broadcast entries
+    values: np.ndarray
+    bits: np.ndarray  # filter of the other entries
+    tail: DataFrame  # (key, value) of the other entries
+    unknown: float  # value of a word that was never counted
+    scale: np.ndarray | None = None
 
-    class Numbers(dict):
-        def __missing__(self, word: bytes) -> int:
-            h = np.uint64(hash_of.fresh()[word])
-            at = np.searchsorted(hashes, h)
-            self[word] = value = int(at) + 1 if at < len(hashes) and hashes[at] == h else 0
-            return value
 
-    cache = Numbers()
-
-    def numbered(found: list[bytes]) -> np.ndarray:
-        if len(cache) > 300_000:
-            cache.clear()
-        return np.fromiter(map(cache.__getitem__, found), np.int64, len(found))
-
-    return numbered
-
-
-def _counted(rows: DataFrame, hashes: np.ndarray | None) -> DataFrame:
-    """(key, toxic, n): words, or bigrams over a vocabulary, summed per task first."""
-    size = None if hashes is None else len(hashes) + 1
+def _counted(rows: DataFrame) -> DataFrame:
+    """(key, v, w, ordinary, toxic) of all bigrams, summed per task first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hash_of = WordHashes()
-        numbered = None if hashes is None else _numbers(hashes)
-        kept = {0: [], 1: []}
+        kept: dict[int, list[np.ndarray]] = {0: [], 1: []}
 
         def flush(label: int) -> pd.DataFrame:
-            key, n = np.unique(np.concatenate(kept[label]), return_counts=True)
+            w = np.concatenate(kept[label])
+            v = np.concatenate([_pairs(h)[0] for h in kept[label]])
             kept[label] = []
-            return pd.DataFrame({"key": key.astype(np.int64), "toxic": np.int32(label), "n": n.astype(np.int64)})
+            key, at, n = np.unique(mixed(v * MULTIPLIER + w), return_index=True, return_counts=True)
+            return pd.DataFrame({"key": key.view(np.int64), "v": v[at].view(np.int64), "w": w[at].view(np.int64), "toxic": np.int32(label),
+                                 "n": n.astype(np.int64)})
 
         for batch in batches:
             for text, label in zip(batch["text"], batch["toxic"]):
-                found = words(text)
-                if hashes is None:
-                    kept[label].append(hash_of.fresh().of(found).view(np.int64))
-                else:
-                    ids = numbered(found)
-                    kept[label].append(ids[:-1] * size + ids[1:])
+                kept[int(label == 1)].append(hash_of.fresh().of(words(text)))
             for label in (0, 1):
                 if sum(map(len, kept[label])) > 3_000_000:
                     yield flush(label)
@@ -123,92 +97,157 @@ def _counted(rows: DataFrame, hashes: np.ndarray | None) -> DataFrame:
             if kept[label]:
                 yield flush(label)
 
-    return rows.mapInPandas(count, "key long, toxic int, n long").groupBy("key").agg(
-        F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("ordinary"),
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"))
+    side = lambda value: F.sum(F.when(F.col("toxic") == value, F.col("n")).otherwise(0))
+    return rows.mapInPandas(count, "key long, v long, w long, toxic int, n long").groupBy("key", "v", "w").agg(
+        side(0).alias("ordinary"), side(1).alias("toxic"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, text, label) of documents with one; labels that disagree for an id count as 1."""
+    known = stored(labels.filter(f"doc_id is not null and {column} is not null").groupBy("doc_id").agg(
+        F.max(F.col(column).cast("int")).alias(column)), "labels")
+    few = known.count() <= BROADCAST_LABELS  # else texts are shuffled to their labels
+    return docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id")
 
 
-def _frequent(counts: DataFrame, bound: int) -> DataFrame:
-    """The rows of the least count and above, at most ``bound``; no sort, and nothing but a histogram is collected."""
-    n = F.least(F.col("ordinary") + F.col("toxic"), F.lit(COUNTS))
-    histogram = sorted((r.n, r.rows) for r in counts.groupBy(n.alias("n")).agg(F.count("*").alias("rows")).collect())
+def _entries(pairs: DataFrame, totals) -> tuple[DataFrame, float]:
+    """(key, value, n) of every word as what follows, as what precedes, and of every bigram; and the value of an unknown word."""
+    size = totals.words + 1
+
+    def follows(both: Column, kinds: dict[str, Column]) -> dict[str, Column]:
+        shared = (both + 0.5) / (totals.both + 0.5 * size)
+        return {c: (F.greatest(kinds[c] - DISCOUNT, F.lit(0.0)) + DISCOUNT * totals[f"{c}_words"] * shared) / max(totals[f"{c}_kinds"], 1)
+                for c in SIDES}
+
+    by_word = pairs.groupBy("w").agg(F.count("*").alias("both"), F.sum(F.col("ordinary") + F.col("toxic")).alias("n"), *[
+        F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in SIDES])
+    p = follows(F.col("both"), {c: F.col(f"{c}_kinds") for c in SIDES})
+    by_word = stored(by_word.select("w", "n", *[p[c].alias(f"{c}_p") for c in SIDES]), "follows")
+    none = follows(F.lit(0), {c: F.lit(0) for c in SIDES})
+    unknown = pairs.sparkSession.range(1).select((F.log(none["toxic"]) - F.log(none["ordinary"])).alias("u")).first().u
+    by_context = pairs.groupBy("v").agg(*[F.sum(c).alias(f"{c}_n") for c in SIDES], *[F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in SIDES])
+    back = {c: F.when(F.col(f"{c}_n") > 0, DISCOUNT * F.col(f"{c}_kinds") / F.col(f"{c}_n")).otherwise(1.0) for c in SIDES}
+    by_context = stored(by_context.select("v", *[F.col(f"{c}_n") for c in SIDES], *[back[c].alias(f"{c}_back") for c in SIDES]), "precedes")
+    ratio = lambda name: F.log(F.col(f"toxic_{name}")) - F.log(F.col(f"ordinary_{name}"))
+    # A word that many bigrams hold is split over tasks.
+    joined = heavy_join(heavy_join(pairs, by_word.drop("n"), ["w"]), by_context, ["v"])
+    share = {c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"{c}_n"), F.lit(1)) + F.col(f"{c}_back") * F.col(f"{c}_p")
+             for c in SIDES}
+    value = lambda c: c.cast("float").alias("value")
+    return joined.select("key", value(F.log(share["toxic"]) - F.log(share["ordinary"]) - ratio("back") - ratio("p")),
+                         (F.col("ordinary") + F.col("toxic")).alias("n")).unionByName(
+        by_word.select(F.col("w").bitwiseXOR(F.lit(FOLLOWS)).alias("key"), value(ratio("p") - unknown), "n")).unionByName(
+        by_context.select(F.col("v").bitwiseXOR(F.lit(PRECEDES)).alias("key"), value(ratio("back")),
+                          (F.col("ordinary_n") + F.col("toxic_n")).alias("n"))), unknown
+
+
+def _least(entries: DataFrame, bound: int) -> int:
+    """The smallest count that at most ``bound`` entries reach; nothing but a histogram is collected."""
+    histogram = sorted((r.n, r.rows) for r in entries.groupBy(F.least("n", F.lit(COUNTS)).alias("n")).agg(F.count("*").alias("rows")).collect())
     least, total = COUNTS + 1, 0
     for value, rows in reversed(histogram):
         total += rows
         if total > bound:
             break
         least = value
-    return counts.filter(n >= least)
+    return least
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """(doc_id, text, label) of documents with one; labels that disagree for an id count as 1."""
-    known = stored(labels.filter(f"doc_id is not null and {column} is not null").groupBy("doc_id").agg(
-        F.max(F.col(column).cast("int")).alias(column)), "labels")
-    few = known.count() <= BROADCAST_LABELS  # else texts are shuffled to their labels
-    return docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id")
+def _places(keys: np.ndarray) -> list[np.ndarray]:
+    """The bits of keys within their slice."""
+    mask = np.uint64((1 << SLICE_BITS) - 1)
+    return [((keys >> np.uint64(shift)) & mask).astype(np.int64) for shift in (0, 19, 37)]
+
+
+def _filter(tail: DataFrame) -> np.ndarray:
+    """Bits of all keys, a row of bytes for each slice; a slice is made by one task."""
+    def fill(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(1 << SLICE_BITS, bool)
+        for at in _places(frame["key"].to_numpy(np.int64).view(np.uint64)):
+            flags[at] = True
+        return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    out = np.zeros((SLICES, 1 << SLICE_BITS >> 3), np.uint8)
+    number = F.shiftrightunsigned("key", 64 - SLICES.bit_length() + 1).cast("int")
+    for row in tail.select(number.alias("slice"), "key").groupBy("slice").applyInPandas(fill, "slice int, bits binary").collect():
+        out[row.slice] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    part = (keys >> np.uint64(64 - SLICES.bit_length() + 1)).astype(np.int64)
+    found = np.ones(len(keys), bool)
+    for at in _places(keys):
+        found &= (bits[part, at >> 3] >> (at & 7) & 1).astype(bool)
+    return found
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Model of the labelled documents; rows of the held-out fold are never read."""
     small_batches(docs.sparkSession)
     rows = labelled(docs, labels, "toxic").withColumn("fold", fold()).filter(F.col("fold") != HELD_OUT)
     rows = stored(rows.select("text", "toxic", "fold", "doc_id"), "labelled")
-    counting = rows.filter(F.col("fold") != SCALE_FOLD).select("text", "toxic")
-    top = _frequent(stored(_counted(counting, None), "words"), VOCABULARY).toPandas()
-    if not top["toxic"].sum() or not top["ordinary"].sum():
+    pairs = stored(_counted(rows.filter(F.col("fold") != SCALE_FOLD).select("text", "toxic")), "bigrams")
+    kinds = pairs.groupBy("w").agg(F.count("*").alias("both"), *[F.count_if(F.col(c) > 0).alias(c) for c in SIDES])
+    totals = kinds.agg(F.count("*").alias("words"), F.sum("both").alias("both"), *[F.sum(c).alias(f"{c}_kinds") for c in SIDES],
+                       *[F.count_if(F.col(c) > 0).alias(f"{c}_words") for c in SIDES]).first()
+    if not totals.words or not totals.ordinary_kinds or not totals.toxic_kinds:
         return None
-    hashes = np.sort(top["key"].to_numpy(np.int64).view(np.uint64))
-    size = len(hashes) + 1
-    pairs = stored(_counted(counting, hashes), "bigrams")
-    v, w = F.expr(f"key div {size}"), F.col("key") % size
-    sides = ("ordinary", "toxic")
-    by_word = pairs.groupBy(w.alias("w")).agg(
-        F.count("*").alias("both"), *[F.count_if(F.col(c) > 0).alias(c) for c in sides]).toPandas()
-    by_context = pairs.groupBy(v.alias("v")).agg(*[F.sum(c).alias(c) for c in sides], *[
-        F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in sides]).toPandas()
-    kept = _frequent(pairs, BIGRAMS).toPandas()
-
-    def dense(frame: pd.DataFrame, key: str, column: str) -> np.ndarray:
-        out = np.zeros(size)
-        out[frame[key].to_numpy(np.int64)] = frame[column]
-        return out
-
-    shared = (dense(by_word, "w", "both") + 0.5) / (by_word["both"].sum() + 0.5 * size)
-    log_word, log_back, log_pair = {}, {}, {}
-    key = kept["key"].to_numpy(np.int64)
-    order = np.argsort(key)
-    key = key[order]
-    for c in sides:
-        kinds = dense(by_word, "w", c)
-        total = max(kinds.sum(), 1.0)
-        p_word = (np.maximum(kinds - DISCOUNT, 0) + DISCOUNT * (kinds > 0).sum() * shared) / total
-        seen = dense(by_context, "v", c)
-        back = np.where(seen > 0, DISCOUNT * dense(by_context, "v", f"{c}_kinds") / np.maximum(seen, 1), 1.0)
-        n = kept[c].to_numpy(np.float64)[order]
-        p_pair = np.maximum(n - DISCOUNT, 0) / np.maximum(seen[key // size], 1) + back[key // size] * p_word[key % size]
-        log_word[c], log_back[c], log_pair[c] = np.log(p_word), np.log(back), np.log(p_pair)
-    model = Model(hashes, key, *(np.float32(d["toxic"] - d["ordinary"]) for d in (log_pair, log_back, log_word)))
-    sample = rows.filter(F.col("fold") == SCALE_FOLD).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SCALE_ROWS)
-    seen = sample.mapInPandas(_features(model, ["toxic"]), "toxic int, mean double, root double, peak double").toPandas()
-    model.scale = _logistic(seen[["mean", "root", "peak"]].to_numpy(), seen["toxic"].to_numpy(np.float64))
+    entries, unknown = _entries(pairs, totals)
+    entries = stored(entries, "entries")
+    least = _least(entries, HEAD)
+    head = entries.filter(F.col("n") >= least).select("key", "value").toPandas()
+    keys = head["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    tail = entries.filter(F.col("n") < least).select("key", "value")
+    model = Model(keys[order], head["value"].to_numpy(np.float32)[order], _filter(tail), tail, unknown)
+    sample = rows.filter(F.col("fold") == SCALE_FOLD)
+    share = min(1.0, SCALE_ROWS / max(sample.count(), 1))
+    sample = sample.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    seen = _ratios(sample.select("text", "toxic"), model, ["toxic"]).select("toxic", *_features()).toPandas()
+    model.scale = _logistic(seen[["mean", "root", "peak"]].to_numpy(np.float64), seen["toxic"].to_numpy(np.float64))
     return model
 
 
-def _features(model: Model, keep: list[str]):
-    shared = model
+def _features() -> list[Column]:
+    n = F.greatest("n", F.lit(1))
+    return [(F.col("ratio") / n).alias("mean"), (F.col("ratio") / F.sqrt(n)).alias("root"), F.col("peak")]
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbered = _numbers(shared.hashes)
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                ids = numbered(words(text)) if text else np.zeros(0, np.int64)
-                n = max(len(ids) - 1, 1)
-                r = shared.ratio(ids)
-                rows.append((r / n, r / np.sqrt(n), shared.word[ids].max() if len(ids) else 0.0))
-            yield batch[keep].assign(**dict(zip(("mean", "root", "peak"), np.array(rows, np.float64).reshape(-1, 3).T)))
 
-    return features
+def _ratios(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """(keep, n, ratio, peak): words of each text, its toxic less ordinary log-likelihood, and the largest value of a word beyond
+    that of an unknown one."""
+    held = docs.sparkSession.sparkContext.broadcast((model.keys, model.values, model.bits, model.unknown))
+    types = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, values, bits, unknown = held.value
+        hash_of = WordHashes()
+        for batch in batches:
+            found = [hash_of.fresh().of(words(t)) if isinstance(t, str) and t else np.zeros(0, np.uint64) for t in batch["text"]]
+            ratio, peak, rest, times = np.zeros(len(found)), np.zeros(len(found)), [], []
+            for i, w in enumerate(found):
+                v, both = _pairs(w)
+                wanted = np.concatenate([w ^ np.uint64(FOLLOWS), v ^ np.uint64(PRECEDES), both])
+                at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+                hit = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+                value = np.where(hit, values[at], 0) if len(keys) else np.zeros(len(wanted))
+                ratio[i] = value.sum(dtype=np.float64) + unknown * len(w)
+                peak[i] = value[:len(w)].max(initial=0.0)
+                own, n_own, other, n_other = (x for miss in (wanted[:len(w)][~hit[:len(w)]], wanted[len(w):][~hit[len(w):]])
+                                              for x in np.unique(miss[_maybe(bits, miss)], return_counts=True))
+                rest.append(np.concatenate([own, other]).view(np.int64))
+                times.append(np.concatenate([n_own, -n_other]).astype(np.int32))  # below zero: not a word's own
+            yield batch[keep].assign(n=[len(w) for w in found], base=ratio, top=peak, keys=rest, times=times)
+
+    coded = docs.select(*keep, "text").mapInPandas(code, f"{types}, n int, base double, top double, keys array<long>, times array<int>")
+    coded = stored(coded.withColumn("row_", F.monotonically_increasing_id()), "coded")
+    listed = coded.select("row_", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row_", F.col("x.keys").alias("key"), "x.times")
+    sums = heavy_join(listed, model.tail, ["key"]).groupBy("row_").agg(
+        F.sum(F.abs("times") * F.col("value").cast("double")).alias("more"),
+        F.max(F.when(F.col("times") > 0, F.col("value").cast("double"))).alias("high"))
+    return coded.drop("keys", "times").join(sums, "row_", "left").select(
+        *keep, "n", (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("ratio"), F.greatest("top", "high").alias("peak"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -225,19 +264,40 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
     return np.vstack([np.append(offset, 0.0), np.append(spread, 1.0), b])
 
 
+def scores(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every document and its ``score``, 0 to 1; texts stay where they are."""
+    small_batches(docs.sparkSession)
+    if model is None:
+        return docs.select(*keep, F.lit(0.0).alias("score"))
+    offset, spread, weight = model.scale
+    z = F.lit(float(weight[-1]))
+    for i, feature in enumerate(("mean", "root", "peak")):
+        z = z + (F.col(feature) - float(offset[i])) / float(spread[i]) * float(weight[i])
+    rows = _ratios(docs, model, keep).select(*keep, *_features())
+    return rows.select(*keep, (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("score"))
+
+
+def text_key() -> list[Column]:
+    """What tells the scores of rows apart: a digest of the text, null for none."""
+    return [F.xxhash64(F.coalesce("text", F.lit(""))), F.length(F.coalesce("text", F.lit("")))]
+
+
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     """Add ``score``, 0 to 1, to every document."""
-    small_batches(docs.sparkSession)
     if model is None:
         return docs.withColumn("score", F.lit(0.0))
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    names = free_names(docs, "text_hash", "text_length")
+    docs = docs.drop("score").withColumns(dict(zip(names, text_key())))
+    found = stored(scores(docs, model, names), "scores").groupBy(*names).agg(F.min("score").alias("score"))
+    return heavy_join(docs, found, names).drop(*names)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        features = _features(held.value, [])
-        for found in features(pd.DataFrame({"text": t.astype(object).where(t.notna(), None)}) for t in batches):
-            offset, spread, b = held.value.scale
-            x = (found[["mean", "root", "peak"]].to_numpy() - offset[:-1]) / spread[:-1]
-            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ b[:-1] + b[-1], -30, 30))))
 
-    return docs.withColumn("score", score("text"))
+def without(docs: DataFrame, model: Model | None, threshold: float) -> DataFrame:
+    """The documents that score below the threshold; texts are shuffled only when very many do not."""
+    if model is None:
+        return docs
+    names = free_names(docs, "text_hash", "text_length")
+    keyed = docs.withColumns(dict(zip(names, text_key())))
+    gone = stored(scores(keyed, model, names).filter(F.col("score") >= threshold).select(*names).distinct(), "toxic")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    return keyed.join(gone, names, "left_anti").select(*docs.columns)

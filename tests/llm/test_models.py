@@ -1,7 +1,10 @@
 import math
 import random
+import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from antecede.llm import language, pieces, toxicity
 
@@ -21,13 +24,57 @@ def test_toxic_texts_are_found_and_nothing_is_learned_without_labels(spark):
     assert {r.score for r in toxicity.scored(docs, None).collect()} == {0.0}
 
 
-def test_model_arrays_are_finite_and_favour_the_class_of_a_word(spark):
-    docs = spark.createDataFrame([(i, "a b a c b d " * 3 if i % 2 else "a b vile d c " * 3) for i in range(80)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(80)], "doc_id long, toxic int")
+def _kneser_ney(train, text):
+    """Toxic less ordinary log-likelihood of a text, from the definition."""
+    split = lambda t: [w.strip(toxicity.STRIP.decode()) for w in t.lower().split()]
+    pairs = {0: {}, 1: {}}
+    for t, label in train:
+        found = split(t)
+        for v, w in zip(["<s>", *found], found):
+            pairs[label][v, w] = pairs[label].get((v, w), 0) + 1
+    every = pairs[0].keys() | pairs[1].keys()
+    size, d = len({w for _, w in every}) + 1, toxicity.DISCOUNT
+
+    def p_word(label, w):
+        shared = (sum(x == w for _, x in every) + 0.5) / (len(every) + 0.5 * size)
+        kinds = sum(x == w for _, x in pairs[label])
+        return (max(kinds - d, 0) + d * len({x for _, x in pairs[label]}) * shared) / len(pairs[label])
+
+    def p(label, v, w):
+        seen = sum(n for (x, _), n in pairs[label].items() if x == v)
+        back = d * sum(x == v for x, _ in pairs[label]) / seen if seen else 1.0
+        return max(pairs[label].get((v, w), 0) - d, 0) / max(seen, 1) + back * p_word(label, w)
+
+    found = split(text)
+    return sum(math.log(p(1, v, w)) - math.log(p(0, v, w)) for v, w in zip(["<s>", *found], found))
+
+
+@pytest.mark.parametrize("head", [400_000, 5, 0])
+def test_ratios_equal_the_definition_whatever_is_broadcast(spark, monkeypatch, head, peaks=[]):  # noqa: B006 - compared over the heads
+    monkeypatch.setattr(toxicity, "HEAD", head)
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(25)] + ["vile", "Rotten!"]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 30))), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
     model = toxicity.fitted(docs, labels)
-    assert len(model.hashes) == 5 and np.isfinite(model.gain).all() and np.isfinite(model.context).all() and np.isfinite(model.word).all()
-    ids = toxicity._numbers(model.hashes)([b"vile", b"nowhere"])
-    assert ids[0] > 0 and ids[1] == 0 and model.word[ids[0]] > 0.5
+    assert len(model.keys) <= head
+    train = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 in (0, 1)]
+    texts = ["vile", "vile rotten", "never seen words", "w1 w2 w3 vile w1 w2", rows[3][1], "", None, "w5 " * 3000]
+    asked = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "id long, text string")
+    rows = toxicity._ratios(asked, model, ["id"]).collect()
+    got = sorted((r.id, r.n, r.ratio) for r in rows)
+    peaks.append(sorted((r.id, round(r.peak, 4)) for r in rows))
+    assert all(p >= 0 for _, p in peaks[-1]) and len({str(p) for p in peaks}) == 1
+    assert len(got) == len(texts) + 1
+    for i, n, ratio in got:
+        want = _kneser_ney(train, texts[i] or "")
+        assert n == len((texts[i] or "").split()) and abs(ratio - want) < 1e-4 * (1 + abs(want))
+    clash = asked.withColumns({"score": F.lit("old"), "text_hash": F.lit(1)})
+    out = toxicity.scored(clash, model)
+    assert set(out.columns) == {"id", "text", "text_hash", "score"} and out.count() == len(texts) + 1
+    assert toxicity.without(clash, model, 0.5).count() == out.filter("score < 0.5").count()
+    assert toxicity.without(clash, model, 0.5).columns == clash.columns
 
 
 def _ppm_bits(text, counts, order=3, size=None):
@@ -61,18 +108,33 @@ def test_code_lengths_equal_the_plain_recursion(spark):
                 for n in range(4):
                     at = counts.setdefault(data[i - n:i], {})
                     at[data[i]] = at.get(data[i], 0) + 1
-        known = set(model.symbol.tolist())
         for row, text in enumerate(texts):
-            if all(model.symbol[b] < model.size - 1 for b in text.encode()):
-                assert abs(got[row, k] - _ppm_bits(text, counts, size=model.size)) < 0.02 * max(1, len(text)), (lang, text, known)
+            assert abs(got[row, k] - _ppm_bits(text, counts, size=256)) < 0.02 * max(1, len(text)), (lang, text)
+
+
+def test_shards_code_as_one_table_does(spark, monkeypatch):
+    rng = random.Random(2)
+    letters = {"aa": "abcde fgh", "bb": "zyxw vuabé", "cc": "字符 文本ab"}
+    rows = [("".join(rng.choice(letters[k]) for _ in range(90)), k) for k in letters for _ in range(60)]
+    train = spark.createDataFrame(rows, "text string, lang string")
+    docs = spark.createDataFrame([(i, t, "x", 1.5) for i, (t, _) in enumerate(rows[::7] + [("", ""), ("é", ""), ("new ünseen words", "")])]
+                                 + [(None, None, "x", 2.5)], "doc_id long, text string, bits string, row double")
+    shown = lambda: sorted((str(r.doc_id), r.lang_pred, round(r.score, 9), r.bits, r.row) for r in language.identified(
+        docs, language.fitted(train)).collect())
+    whole = shown()
+    right = [r[1] == k for r, (_, k) in zip(sorted(whole, key=lambda r: int(r[0]) if r[0] != "None" else 999), rows[::7])]
+    assert all(right) and whole[-1][1] == "und"
+    monkeypatch.setattr(language, "SHARD", 900)
+    monkeypatch.setattr(language, "STEP", 50)
+    assert language.fitted(train).shards > 3 and shown() == whole
 
 
 def test_language_of_odd_texts(spark):
     rows = spark.createDataFrame([("the cat and the dog", "en"), ("le chat et le chien", "fr"), (None, "en"), ("x", None)], "text string, lang string")
     model = language.fitted(rows)
-    docs = spark.createDataFrame([(1, "the dog"), (2, "le chien"), (3, None), (4, "12 34!"), (5, ""), (6, "the cat " * 30_000)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "the dog"), (2, "le chien"), (3, None), (4, "12 34!"), (5, ""), (6, "the cat " * 30_000), (7, "² ½ Ⅷ ①")], "doc_id long, text string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.identified(docs, model).collect()}
-    assert [got[i][0] for i in range(1, 7)] == ["en", "fr", "und", "und", "und", "en"] and got[3][1] == 0 and got[6][1] == 1
+    assert [got[i][0] for i in range(1, 8)] == ["en", "fr", "und", "und", "und", "en", "und"] and got[3][1] == 0 and got[6][1] == 1
     assert language.fitted(rows.limit(0)) is None
     assert {r.lang_pred for r in language.identified(docs, None).collect()} == {"und"}
 
