@@ -228,11 +228,13 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
     bits, row = free_names(docs, "bits", "row")
 
     def summed(number: int):
-        held = context.broadcast((model.shard(number), model.pairs))
+        shard = model.shard(number)
+        held = context.broadcast((shard.number, shard.keys, shard.bits, model.pairs))
 
         @F.pandas_udf("array<long>")
         def bits_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            shard, pairs = held.value
+            *parts, pairs = held.value
+            shard = Shard(*parts)
             for texts in batches:
                 out = np.full(len(texts), None, object)
                 known = np.flatnonzero([has_letter(t) for t in texts])

@@ -89,7 +89,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     small_batches(docs.sparkSession)
     chosen = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    sample = labelled(docs, chosen, "quality").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
+    # Ids may repeat, so the rows are bounded too: the first ones of each task meet in one.
+    sample = labelled(docs, chosen, "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_ROWS)
     found = sample.select("text", "quality").mapInPandas(_learned, "bucket long, weight double").toPandas()
     weights = np.zeros(BUCKETS + 1, np.float32)
     weights[found["bucket"].to_numpy(np.int64)] = found["weight"]

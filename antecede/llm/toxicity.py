@@ -28,10 +28,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from antecede.llm.common import MULTIPLIER, WordHashes, free_names, mixed, small_batches, stored
+from antecede.llm.common import WordHashes, free_names, small_batches, stored
 from antecede.operators.heavyjoin import heavy_join
 
-HEAD = 400_000  # entries that are broadcast; the rest is joined
+HEAD = 3_000_000  # entries that are broadcast, twelve bytes each; the rest is joined
+BROADCAST_WORDS = 1_500_000  # rows of the tables by word that may be broadcast when the entries are made
 COUNTS = 50_000  # counts from here on are alike when the least count of the head is chosen
 SLICES, SLICE_BITS = 64, 21  # of the filter of the other entries: 2 ** 21 bits each
 SCALE_ROWS = 20_000
@@ -42,6 +43,7 @@ FOLDS = 4
 HELD_OUT = 2  # never learned from
 SCALE_FOLD = 3  # fits the scale
 STRIP = b".,;:!?\"'()[]{}%&$*#|<>"
+TURN = 23
 START = np.uint64(0x1D8E4E27C47D124F)  # stands for what precedes the first word
 FOLLOWS, PRECEDES = 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85  # tell the keys of a word's two values apart
 SIDES = ("ordinary", "toxic")
@@ -57,9 +59,14 @@ def words(text: str) -> list[bytes]:
 
 
 def _pairs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What precedes each word, and the key of the bigram."""
+    """What precedes each word, and the key of the bigram: the hashes of both words, one turned by ``TURN`` bits."""
     before = np.concatenate([[START], hashes[:-1]]) if len(hashes) else hashes
-    return before, mixed(before * MULTIPLIER + hashes)
+    return before, before ^ (hashes << np.uint64(TURN) | hashes >> np.uint64(64 - TURN))
+
+
+def _pair_key() -> Column:
+    """The same key of columns v and w."""
+    return F.col("v").bitwiseXOR(F.shiftleft("w", TURN).bitwiseOR(F.shiftrightunsigned("w", 64 - TURN)))
 
 
 @dataclass
@@ -73,7 +80,7 @@ class Model:
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """(key, v, w, ordinary, toxic) of all bigrams, summed per task first."""
+    """(v, w, ordinary, toxic) of all bigrams, summed per task first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hash_of = WordHashes()
@@ -81,11 +88,10 @@ def _counted(rows: DataFrame) -> DataFrame:
 
         def flush(label: int) -> pd.DataFrame:
             w = np.concatenate(kept[label])
-            v = np.concatenate([_pairs(h)[0] for h in kept[label]])
+            v, key = (np.concatenate(x) for x in zip(*[_pairs(h) for h in kept[label]]))
             kept[label] = []
-            key, at, n = np.unique(mixed(v * MULTIPLIER + w), return_index=True, return_counts=True)
-            return pd.DataFrame({"key": key.view(np.int64), "v": v[at].view(np.int64), "w": w[at].view(np.int64), "toxic": np.int32(label),
-                                 "n": n.astype(np.int64)})
+            _, at, n = np.unique(key, return_index=True, return_counts=True)
+            return pd.DataFrame({"v": v[at].view(np.int64), "w": w[at].view(np.int64), "toxic": np.int32(label), "n": n.astype(np.int64)})
 
         for batch in batches:
             for text, label in zip(batch["text"], batch["toxic"]):
@@ -98,7 +104,7 @@ def _counted(rows: DataFrame) -> DataFrame:
                 yield flush(label)
 
     side = lambda value: F.sum(F.when(F.col("toxic") == value, F.col("n")).otherwise(0))
-    return rows.mapInPandas(count, "key long, v long, w long, toxic int, n long").groupBy("key", "v", "w").agg(
+    return rows.mapInPandas(count, "v long, w long, toxic int, n long").groupBy("v", "w").agg(
         side(0).alias("ordinary"), side(1).alias("toxic"))
 
 
@@ -129,12 +135,14 @@ def _entries(pairs: DataFrame, totals) -> tuple[DataFrame, float]:
     back = {c: F.when(F.col(f"{c}_n") > 0, DISCOUNT * F.col(f"{c}_kinds") / F.col(f"{c}_n")).otherwise(1.0) for c in SIDES}
     by_context = stored(by_context.select("v", *[F.col(f"{c}_n") for c in SIDES], *[back[c].alias(f"{c}_back") for c in SIDES]), "precedes")
     ratio = lambda name: F.log(F.col(f"toxic_{name}")) - F.log(F.col(f"ordinary_{name}"))
-    # A word that many bigrams hold is split over tasks.
-    joined = heavy_join(heavy_join(pairs, by_word.drop("n"), ["w"]), by_context, ["v"])
+    joined = pairs
+    for side, key in ((by_word.drop("n"), "w"), (by_context, "v")):
+        # Beyond a broadcast, a word that many bigrams hold is split over tasks.
+        joined = joined.join(F.broadcast(side), key) if side.count() <= BROADCAST_WORDS else heavy_join(joined, side, [key])
     share = {c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"{c}_n"), F.lit(1)) + F.col(f"{c}_back") * F.col(f"{c}_p")
              for c in SIDES}
     value = lambda c: c.cast("float").alias("value")
-    return joined.select("key", value(F.log(share["toxic"]) - F.log(share["ordinary"]) - ratio("back") - ratio("p")),
+    return joined.select(_pair_key().alias("key"), value(F.log(share["toxic"]) - F.log(share["ordinary"]) - ratio("back") - ratio("p")),
                          (F.col("ordinary") + F.col("toxic")).alias("n")).unionByName(
         by_word.select(F.col("w").bitwiseXOR(F.lit(FOLLOWS)).alias("key"), value(ratio("p") - unknown), "n")).unionByName(
         by_context.select(F.col("v").bitwiseXOR(F.lit(PRECEDES)).alias("key"), value(ratio("back")),
@@ -186,7 +194,6 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Model of the labelled documents; rows of the held-out fold are never read."""
     small_batches(docs.sparkSession)
     rows = labelled(docs, labels, "toxic").withColumn("fold", fold()).filter(F.col("fold") != HELD_OUT)
-    rows = stored(rows.select("text", "toxic", "fold", "doc_id"), "labelled")
     pairs = stored(_counted(rows.filter(F.col("fold") != SCALE_FOLD).select("text", "toxic")), "bigrams")
     kinds = pairs.groupBy("w").agg(F.count("*").alias("both"), *[F.count_if(F.col(c) > 0).alias(c) for c in SIDES])
     totals = kinds.agg(F.count("*").alias("words"), F.sum("both").alias("both"), *[F.sum(c).alias(f"{c}_kinds") for c in SIDES],
