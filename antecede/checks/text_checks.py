@@ -126,9 +126,22 @@ def page_gate(spark, folder):
     return docs.select("doc_id", F.coalesce(gate["reason"], F.lit("none")).alias("reason"))
 
 
-@check("h22_cue_spans")
+_CUES = f"'(?i){T.PROTEST_CUES}'"
+
+
+@check("h22_cue_spans", f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN ' A Strike and two sit-ins near here.'
+                                                    WHEN 1 THEN ' PROTESTERS, not strikers' ELSE '' END AS text FROM documents),
+    f AS (SELECT doc_id, regexp_extract_all(text, {_CUES}) AS m, string_split_regex(text, {_CUES}) AS g FROM d),
+    i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f)
+    SELECT doc_id, m[i] AS text, CAST(at AS INTEGER) AS start, CAST(at + length(m[i]) AS INTEGER) AS "end"
+    FROM (SELECT *, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS at
+          FROM i)""")
 def cue_spans(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.inline(A.cue_spans(F.col("text"))))
+    """Cues that two documents of three end with, beside any that their texts hold."""
+    n = F.col("doc_id") % 3
+    ending = F.when(n == 0, " A Strike and two sit-ins near here.").when(n == 1, " PROTESTERS, not strikers").otherwise("")
+    return table(spark, folder, "documents").select("doc_id", F.inline(A.cue_spans(F.concat(F.coalesce("text", F.lit("")), ending))))
 
 
 @check("h26_h27_page_text")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from antecede.session import checkpointed
+from antecede.session import checkpointed, discard
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -34,14 +34,16 @@ def connected_components(edges: DataFrame, first: str = "a", second: str = "b")
     """(node, component) for every node with an edge to another node.
 
     Star contraction: a component of n nodes settles in O(log^2 n) rounds, and each round
-    moves at most two rows per edge, so one huge component costs no more than many small ones."""
+    moves at most two rows per edge, so one huge component costs no more than many small ones. A round's table goes
+    when the next one is written."""
     stars = checkpointed(edges.select(
         F.greatest(first, second).alias("u"), F.least(first, second).alias("v")
     ).filter("u <> v").distinct())
     seen = _fingerprint(stars)
     while True:
-        stars = checkpointed(_small_star(_large_star(stars)))
+        spent, stars = stars, checkpointed(_small_star(_large_star(stars)))
         now = _fingerprint(stars)
+        discard(spent)
         if now == seen:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 stars.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

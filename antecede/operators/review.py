@@ -29,7 +29,9 @@ def deal(claims: DataFrame, annotators: Sequence[str], every: int = 4) -> DataFr
     names, k = F.array(*[F.lit(a) for a in annotators]), len(annotators)
     n = F.col("position") - 1
     person = lambda i: F.get(names, (i % k).cast("int"))
-    return with_position(claims, [F.col("claim_id")]).withColumns({
+    # Whole claims are not written to be numbered: their ids alone are.
+    placed = claims.join(with_position(claims.select("claim_id"), [F.col("claim_id")]), "claim_id")
+    return placed.withColumns({
         "primary_annotator": person(n),
         "review_annotator": F.when(F.floor(n / k) % every == 0, person(n + 1)),
     }).drop("position")

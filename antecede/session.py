@@ -41,3 +41,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the checkpoint that ``df`` reads. Only for a frame that nothing will read again: the tables made from it must
+    be written themselves."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.getClass().getSimpleName() == "LogicalRDD":
+        return
+    file = plan.rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
