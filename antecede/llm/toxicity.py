@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from antecede.llm.common import WordHashes, free_names, small_batches, stored
 from antecede.operators.heavyjoin import heavy_join
 
-HEAD = 1_000_000  # entries that are broadcast, twelve bytes each; the rest is joined
-BROADCAST_WORDS = 300_000  # rows of the tables by word that may be broadcast when the entries are made
+HEAD = 400_000  # entries that are broadcast, twelve bytes each; the rest is joined
+BROADCAST_WORDS = 50_000  # rows of the tables by word that may be broadcast when the entries are made
 COUNTS = 50_000  # counts from here on are alike when the least count of the head is chosen
 SLICES, SLICE_BITS = 64, 21  # of the filter of the other entries: 2 ** 21 bits each
 SCALE_ROWS = 20_000
