@@ -134,8 +134,8 @@ _CUES = f"'(?i){T.PROTEST_CUES}'"
                                                     WHEN 1 THEN ' PROTESTERS, not strikers' ELSE '' END AS text FROM documents),
     f AS (SELECT doc_id, regexp_extract_all(text, {_CUES}) AS m, string_split_regex(text, {_CUES}) AS g FROM d),
     i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f)
-    SELECT doc_id, m[i] AS text, CAST(at AS INTEGER) AS start, CAST(at + length(m[i]) AS INTEGER) AS "end"
-    FROM (SELECT *, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS at
+    SELECT doc_id, m[i] AS text, CAST(spot AS INTEGER) AS start, CAST(spot + length(m[i]) AS INTEGER) AS "end"
+    FROM (SELECT *, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS spot
           FROM i)""")
 def cue_spans(spark, folder):
     """Cues that two documents of three end with, beside any that their texts hold."""
