@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from antecede.llm.common import WordHashes, free_names, small_batches, stored
 from antecede.operators.heavyjoin import heavy_join
 
-HEAD = 3_000_000  # entries that are broadcast, twelve bytes each; the rest is joined
-BROADCAST_WORDS = 50_000  # rows of the tables by word that may be broadcast when the entries are made
+HEAD = 1_500_000  # entries that are broadcast, twelve bytes each; the rest is joined
+BROADCAST_WORDS = 2_000_000  # words whose shares tasks may hold when the entries are made, 56 bytes each
 COUNTS = 50_000  # counts from here on are alike when the least count of the head is chosen
 SLICES, SLICE_BITS = 64, 21  # of the filter of the other entries: 2 ** 21 bits each
 SCALE_ROWS = 20_000
@@ -116,6 +116,29 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id")
 
 
+def _corrected(pairs: DataFrame, by_word: DataFrame, by_context: DataFrame) -> DataFrame:
+    """(key, value, n) of every bigram; each task looks the shares of its words up in sorted arrays."""
+    follows, precedes = by_word.toPandas().sort_values("w"), by_context.toPandas().sort_values("v")
+    held = pairs.sparkSession.sparkContext.broadcast((
+        follows["w"].to_numpy(), [follows[f"{c}_p"].to_numpy() for c in SIDES], precedes["v"].to_numpy(),
+        [precedes[f"{c}_n"].to_numpy() for c in SIDES], [precedes[f"{c}_back"].to_numpy() for c in SIDES]))
+
+    def correct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words_, share, contexts, seen, back = held.value
+        for batch in batches:
+            at, of = np.searchsorted(words_, batch["w"]), np.searchsorted(contexts, batch["v"])
+            logs = []
+            for c, side in enumerate(SIDES):
+                backed = back[c][of] * share[c][at]
+                logs.append(np.log((np.maximum(batch[side].to_numpy() - DISCOUNT, 0) / np.maximum(seen[c][of], 1) + backed) / backed))
+            w = batch["w"].to_numpy(np.int64).view(np.uint64)
+            key = batch["v"].to_numpy(np.int64).view(np.uint64) ^ (w << np.uint64(TURN) | w >> np.uint64(64 - TURN))
+            yield pd.DataFrame({"key": key.view(np.int64), "value": (logs[1] - logs[0]).astype(np.float32),
+                                "n": (batch["ordinary"] + batch["toxic"]).to_numpy(np.int64)})
+
+    return pairs.mapInPandas(correct, "key long, value float, n long")
+
+
 def _entries(pairs: DataFrame, totals) -> tuple[DataFrame, float]:
     """(key, value, n) of every word as what follows, as what precedes, and of every bigram; and the value of an unknown word."""
     size = totals.words + 1
@@ -135,15 +158,16 @@ def _entries(pairs: DataFrame, totals) -> tuple[DataFrame, float]:
     back = {c: F.when(F.col(f"{c}_n") > 0, DISCOUNT * F.col(f"{c}_kinds") / F.col(f"{c}_n")).otherwise(1.0) for c in SIDES}
     by_context = stored(by_context.select("v", *[F.col(f"{c}_n") for c in SIDES], *[back[c].alias(f"{c}_back") for c in SIDES]), "precedes")
     ratio = lambda name: F.log(F.col(f"toxic_{name}")) - F.log(F.col(f"ordinary_{name}"))
-    joined = pairs
-    for side, key in ((by_word.drop("n"), "w"), (by_context, "v")):
-        # Beyond a broadcast, a word that many bigrams hold is split over tasks.
-        joined = joined.join(F.broadcast(side), key) if side.count() <= BROADCAST_WORDS else heavy_join(joined, side, [key])
-    share = {c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"{c}_n"), F.lit(1)) + F.col(f"{c}_back") * F.col(f"{c}_p")
-             for c in SIDES}
     value = lambda c: c.cast("float").alias("value")
-    return joined.select(_pair_key().alias("key"), value(F.log(share["toxic"]) - F.log(share["ordinary"]) - ratio("back") - ratio("p")),
-                         (F.col("ordinary") + F.col("toxic")).alias("n")).unionByName(
+    if max(by_word.count(), by_context.count()) <= BROADCAST_WORDS:
+        corrected = _corrected(pairs, by_word, by_context)
+    else:  # a word that many bigrams hold is split over tasks
+        joined = heavy_join(heavy_join(pairs, by_word.drop("n"), ["w"]), by_context, ["v"])
+        share = {c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"{c}_n"), F.lit(1)) + F.col(f"{c}_back") * F.col(f"{c}_p")
+                 for c in SIDES}
+        corrected = joined.select(_pair_key().alias("key"), value(F.log(share["toxic"]) - F.log(share["ordinary"]) - ratio("back") - ratio("p")),
+                                  (F.col("ordinary") + F.col("toxic")).alias("n"))
+    return corrected.unionByName(
         by_word.select(F.col("w").bitwiseXOR(F.lit(FOLLOWS)).alias("key"), value(ratio("p") - unknown), "n")).unionByName(
         by_context.select(F.col("v").bitwiseXOR(F.lit(PRECEDES)).alias("key"), value(ratio("back")),
                           (F.col("ordinary_n") + F.col("toxic_n")).alias("n"))), unknown

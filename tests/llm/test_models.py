@@ -52,6 +52,7 @@ def _kneser_ney(train, text):
 @pytest.mark.parametrize("head", [400_000, 5, 0])
 def test_ratios_equal_the_definition_whatever_is_broadcast(spark, monkeypatch, head, peaks=[]):  # noqa: B006 - compared over the heads
     monkeypatch.setattr(toxicity, "HEAD", head)
+    monkeypatch.setattr(toxicity, "BROADCAST_WORDS", 0 if head == 5 else 1000)
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(25)] + ["vile", "Rotten!"]
     rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 30))), i % 2) for i in range(60)]
