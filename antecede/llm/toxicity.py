@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from antecede.llm.common import WordHashes, free_names, small_batches, stored
 from antecede.operators.heavyjoin import heavy_join
 
-HEAD = 1_500_000  # entries that are broadcast, twelve bytes each; the rest is joined
+HEAD = 500_000  # entries that are broadcast, twelve bytes each; the rest is joined
 BROADCAST_WORDS = 2_000_000  # words whose shares tasks may hold when the entries are made, 56 bytes each
 COUNTS = 50_000  # counts from here on are alike when the least count of the head is chosen
 SLICES, SLICE_BITS = 64, 21  # of the filter of the other entries: 2 ** 21 bits each
