@@ -95,8 +95,8 @@ def fetch_outcomes(spark, folder):
     FROM log GROUP BY 1"""))
 def status_summary(spark, folder):
     log = status_log(spark, folder)
-    cache = Q.checked(log).select("url", "alive", "status", F.lit("timeout").alias("reason"))
-    return Q.status_summary(log.select(F.col("url").alias("SOURCEURL")), cache)
+    cache = Q.checked(log).select("page_id", "alive", "status", F.lit("timeout").alias("reason"))
+    return Q.status_summary(log.select("page_id", F.col("url").alias("SOURCEURL")), cache, "page_id")
 
 
 @check("d19_fetch_summary", with_("pageviews", """

@@ -38,17 +38,20 @@ def first_event_day(events: DataFrame) -> DataFrame:
         date_of_day(F.min("day")).alias("event_day")).filter("url_key <> ''")
 
 
-def status_summary(events: DataFrame, cache: DataFrame) -> DataFrame:
+def status_summary(events: DataFrame, cache: DataFrame, key: str = "url") -> DataFrame:
     """URL counts per status (or reason, where no status was had), with live and event rows.
 
-    ``cache`` has (url, alive, status, reason)."""
-    urls = events.groupBy(F.col("SOURCEURL").alias("url")).agg(F.count("*").alias("event_rows"))
+    ``cache`` has (url, alive, status, reason), one row per URL. Where URLs were fetched more than once, both sides name the
+    fetch by the column ``key`` instead, and a URL counts once under each of its outcomes."""
+    urls = events.withColumn("url", F.col("SOURCEURL")).groupBy("url", *{key} - {"url"}).agg(F.count("*").alias("event_rows"))
     label = F.when(F.col("alive").isNull(), "missing-result").otherwise(
         F.coalesce(F.col("status").cast("string"), "reason", F.lit("unknown")))
-    return urls.join(cache, "url", "left").groupBy(label.alias("outcome")).agg(
+    live_rows = F.when(F.col("alive"), F.col("event_rows")).otherwise(0)
+    per_url = urls.join(cache.select(key, "alive", "status", "reason"), key, "left").groupBy(label.alias("outcome"), "url").agg(
+        F.max("alive").alias("alive"), F.sum("event_rows").alias("event_rows"), F.sum(live_rows).alias("live_rows"))
+    return per_url.groupBy("outcome").agg(
         F.count("*").alias("urls"), F.count_if("alive").alias("live_urls"),
-        F.sum("event_rows").alias("input_rows"),
-        F.sum(F.when(F.col("alive"), F.col("event_rows")).otherwise(0)).alias("output_rows"),
+        F.sum("event_rows").alias("input_rows"), F.sum("live_rows").alias("output_rows"),
     )
 
 

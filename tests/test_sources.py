@@ -1,9 +1,11 @@
 import json
 
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from antecede.operators import events as E
 from antecede.operators.review import branching, deal
+from antecede.operators.urlset import checked, status_summary
 from antecede.sources import tables as T
 from antecede.streaming import incremental as I
 
@@ -105,3 +107,11 @@ def test_filters_reach_the_scan(spark, tmp_path):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ActionGeo_CountryCode)" in plan
     assert "ReadSchema: struct<GlobalEventID:bigint,EventRootCode:string,ActionGeo_CountryCode:string>" in plan
+
+
+def test_repeated_urls_count_once_under_each_outcome(spark):
+    log = spark.createDataFrame([(1, "u", 200), (2, "u", 404), (3, "u", 200), (4, "v", 200)], "page_id long, url string, status int")
+    cache = checked(log).withColumn("reason", F.lit("timeout"))
+    found = status_summary(log.withColumnRenamed("url", "SOURCEURL"), cache, "page_id")
+    rows = {r.outcome: (r.urls, r.live_urls, r.input_rows, r.output_rows) for r in found.collect()}
+    assert rows == {"200": (2, 2, 3, 3), "404": (1, 0, 1, 0)}
