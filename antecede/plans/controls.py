@@ -57,8 +57,10 @@ def arm_summary(arms: DataFrame) -> DataFrame:
 
 
 def discrimination(summary: DataFrame) -> DataFrame:
-    """Real over shuffled share per grade; null where the shuffled share is 0."""
-    long = summary.unpivot(["arm"], list(GRADES), "grade", "share")
+    """Real over shuffled share of every grade; null where the shuffled share is 0 or there is none."""
+    names = summary.sparkSession.createDataFrame([(g,) for g in GRADES], "grade string")
+    long = names.join(summary.unpivot(["arm"], list(GRADES), "grade", "share"), "grade", "left")
     arm = lambda name: F.max(F.when(F.col("arm") == name, F.col("share")))
+    # An arm without candidates has a share of 0, as a grade without any has.
     return long.groupBy("grade").agg(
-        steady_round(F.try_divide(arm("real"), arm("shuffled")), 2).alias("discrimination"))
+        steady_round(F.try_divide(F.coalesce(arm("real"), F.lit(0.0)), arm("shuffled")), 2).alias("discrimination"))

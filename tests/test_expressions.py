@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from antecede.functions import quality as T, scores as S, timex, urls as U, words as W
 from antecede.operators import actors as A, articles, evaluation as V
+from antecede.plans.controls import GRADES, discrimination
 
 
 
@@ -150,3 +151,10 @@ def test_cue_spans_have_exact_offsets(spark):
 def test_chance_floor(spark):
     assert one(spark, V.chance_top(F.lit(2), F.lit(2))) == 1.0
     assert abs(one(spark, V.chance_top(F.lit(1), F.lit(4))) - 0.75) < 1e-12
+
+
+def test_discrimination_lists_every_grade_without_any_candidate(spark):
+    none = spark.createDataFrame([], "arm string, " + ", ".join(f"{g} double" for g in GRADES))
+    assert {tuple(r) for r in discrimination(none).collect()} == {(g, None) for g in GRADES}
+    moved = spark.createDataFrame([("shuffled", 0.5, 0.5, 0.0, 0.0, 0.0)], none.schema)
+    assert {r.grade: r.discrimination for r in discrimination(moved).collect()}["reported"] == 0.0
