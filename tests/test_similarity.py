@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from antecede.operators import mentions as M, similarity as S
 from antecede.operators.ordering import with_position, with_running_total
+from antecede.operators.similarity import dot
 
 
 def test_near_duplicate_groups_match_all_pairs(spark):
@@ -82,3 +83,48 @@ def test_pairs_never_cross_article_status_type_or_time(spark):
                                "best date, start date, end date, confidence string")
     got = {(r["a"]["mention_id"], r["b"]["mention_id"]) for r in M.candidate_pairs(df).collect()}
     assert got == {("1:1", "2:1"), ("1:2", "2:1"), ("1:1", "6:1"), ("1:2", "6:1"), ("2:1", "6:1"), ("3:1", "6:1")}
+
+
+def test_all_pairs_are_scored_without_a_common_word_too(spark):
+    import datetime as dt
+
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    vectors = draw.normal(size=(12, 4))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+
+    def row(i):
+        best = dt.date(2024, 3, 1) + dt.timedelta(int(draw.integers(0, 16)))
+        pick = lambda name, n: [f"{name}{draw.integers(0, n)}"] if draw.random() < 0.7 else []
+        return (i, i // 2, [None, "14", "17"][draw.integers(0, 3)], "asserted", pick("actor", 9), pick("target", 9), pick("place", 9),
+                (pick("acted", 9) or [None])[0], best, best - dt.timedelta(int(draw.integers(0, 9))), best + dt.timedelta(int(draw.integers(0, 9))),
+                ["high", "low"][draw.integers(0, 2)], vectors[draw.integers(0, 12)].tolist())
+
+    rows = [row(i) for i in range(90)]
+    df = spark.createDataFrame(rows, "mention_id long, article_id long, event_type string, status string, actors array<string>, "
+                               "targets array<string>, locations array<string>, action string, best date, start date, end date, "
+                               "confidence string, vector array<double>")
+    found = M.scored_pairs(df, dot(F.col("a.vector"), F.col("b.vector")), "vector", 0.25)
+    got = {(r.a, r.b): r.score for r in found.collect()}
+    sets = {r.mention_id: r for r in M.with_words(df).collect()}
+    a, b = (F.struct("*").alias(n) for n in "ab")
+    every = df.transform(M.with_words).select(a).crossJoin(df.transform(M.with_words).select(b)).filter("a.mention_id < b.mention_id")
+    scores = every.select("a.mention_id", F.col("b.mention_id").alias("other"), M.pair_score(F.round(F.round(
+        dot(F.col("a.vector"), F.col("b.vector")), 9), 4)).alias("score")).collect()
+    day = dt.timedelta(1)
+    expected = {}
+    for i, j, score in scores:
+        x, y = sets[i], sets[j]
+        fits = x.event_type is None or y.event_type is None or x.event_type == y.event_type
+        if x.article_id != y.article_id and fits and x.start <= y.end + day and y.start <= x.end + day and (
+                score >= 0.25 or set(x.words) & set(y.words)):
+            expected[i, j] = score
+    assert got == expected and any(not set(sets[i].words) & set(sets[j].words) for i, j in got)
+
+
+def test_pairs_are_joined_without_being_shuffled(spark):
+    df = spark.createDataFrame([], "mention_id long, article_id long, event_type string, status string, actors array<string>, "
+                               "targets array<string>, locations array<string>, action string, best date, start date, end date, confidence string")
+    plan = M.candidate_pairs(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
