@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from antecede.operators import mentions as M, similarity as S
+from antecede.operators import components, mentions as M, similarity as S
 from antecede.operators.ordering import with_position, with_running_total
 from antecede.operators.similarity import dot
 
@@ -128,3 +129,12 @@ def test_pairs_are_joined_without_being_shuffled(spark):
                                "targets array<string>, locations array<string>, action string, best date, start date, end date, confidence string")
     plan = M.candidate_pairs(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+@pytest.mark.parametrize("held", [8, 1 << 20])
+def test_thinned_edges_keep_the_components(spark, monkeypatch, held):
+    monkeypatch.setattr(components, "HELD", held)
+    edges = spark.range(4000).select((F.col("id") * 7919 % 120).alias("a"), (F.col("id") * 104729 % 131 + 60).alias("b"))
+    few = components.thinned(edges)
+    whole = lambda df: {tuple(r) for r in components.connected_components(df).collect()}
+    assert whole(few) == whole(edges) and (held == 8 or few.count() <= 190 * edges.rdd.getNumPartitions())
