@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from antecede.checks.review_checks import quotes_of
 from antecede.operators import events as E
 from antecede.operators.review import branching, deal
 from antecede.operators.urlset import checked, status_summary
@@ -115,3 +116,11 @@ def test_repeated_urls_count_once_under_each_outcome(spark):
     found = status_summary(log.withColumnRenamed("url", "SOURCEURL"), cache, "page_id")
     rows = {r.outcome: (r.urls, r.live_urls, r.input_rows, r.output_rows) for r in found.collect()}
     assert rows == {"200": (2, 2, 3, 3), "404": (1, 0, 1, 0)}
+
+
+def test_texts_do_not_travel_with_their_quotes(spark):
+    claims = spark.range(4).select(F.col("id").cast("string").alias("claim_id"), (F.col("id") + 3).alias("effect_id"), F.col("id").alias("cause_id"))
+    articles = spark.range(5).select(F.col("id").alias("article_id"), F.repeat(F.lit("words "), 40).alias("text"))
+    quotes = quotes_of(claims, articles, 5)
+    plan = quotes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("AS first#") and quotes.count() == 12
