@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from antecede.session import checkpointed
+from antecede.session import checkpoint_folder
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 BREAK_PATTERN = r"[\x20\x09-\x0D]+"
@@ -25,10 +25,7 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder of the session."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        checkpointed(spark.range(1))  # sets the folder where a local session has none
-    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
