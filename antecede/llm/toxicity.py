@@ -116,12 +116,23 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id")
 
 
+def _columns(rows: DataFrame, key: str, names: list[str]) -> list[np.ndarray]:
+    """The key's values in order, and each column's beside them; one column is copied at a time."""
+    table = rows.select(key, *names).toArrow()
+    order = np.argsort(table.column(key).to_numpy())
+    out = []
+    for name in (key, *names):
+        out.append(table.column(name).to_numpy()[order])
+        table = table.drop_columns([name])
+    return out
+
+
 def _corrected(pairs: DataFrame, by_word: DataFrame, by_context: DataFrame) -> DataFrame:
     """(key, value, n) of every bigram; each task looks the shares of its words up in sorted arrays."""
-    follows, precedes = by_word.toPandas().sort_values("w"), by_context.toPandas().sort_values("v")
-    held = pairs.sparkSession.sparkContext.broadcast((
-        follows["w"].to_numpy(), [follows[f"{c}_p"].to_numpy() for c in SIDES], precedes["v"].to_numpy(),
-        [precedes[f"{c}_n"].to_numpy() for c in SIDES], [precedes[f"{c}_back"].to_numpy() for c in SIDES]))
+    follows = _columns(by_word, "w", [f"{c}_p" for c in SIDES])
+    precedes = _columns(by_context, "v", [f"{c}_{x}" for x in ("n", "back") for c in SIDES])
+    held = pairs.sparkSession.sparkContext.broadcast((follows[0], follows[1:], precedes[0], precedes[1:3], precedes[3:]))
+    del follows, precedes
 
     def correct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words_, share, contexts, seen, back = held.value

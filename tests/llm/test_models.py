@@ -178,3 +178,10 @@ def test_segmentation_is_lossless_and_independent_of_batches(spark):
     many = {(r.doc_id, r.text): r for r in pieces.with_pieces(df.repartition(7)).collect()}
     assert all(r.decoded == r.text and r.piece_ids == many[k].piece_ids for k, r in one.items()) and len(one) == len(texts) + 1
     assert pieces.with_pieces(df.limit(0)).collect() == []
+
+
+def test_collected_columns_follow_the_order_of_the_key(spark):
+    rows = [(9, 0.5, 1), (-3, 1.5, 2), (4, 2.5, 3)]
+    w, p, n = toxicity._columns(spark.createDataFrame(rows, "w long, p double, n long"), "w", ["p", "n"])
+    assert list(zip(w, p, n)) == sorted(rows)
+    assert all(len(x) == 0 for x in toxicity._columns(spark.createDataFrame([], "w long, p double"), "w", ["p"]))
