@@ -36,7 +36,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.checkpoint_path = path  # for ``discard``
+    return table
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from antecede.llm.common import WordHashes, free_names, small_batches, stored
 from antecede.operators.heavyjoin import heavy_join
+from antecede.session import discard
 
 HEAD = 500_000  # entries that are broadcast, twelve bytes each; the rest is joined
 BROADCAST_WORDS = 2_000_000  # words whose shares tasks may hold when the entries are made, 56 bytes each
@@ -151,7 +152,8 @@ def _corrected(pairs: DataFrame, by_word: DataFrame, by_context: DataFrame) -> D
 
 
 def _entries(pairs: DataFrame, totals) -> tuple[DataFrame, float]:
-    """(key, value, n) of every word as what follows, as what precedes, and of every bigram; and the value of an unknown word."""
+    """(key, value, n) of every word as what follows, as what precedes, and of every bigram, stored; and the value of an unknown
+    word. ``pairs`` and the shares of words are spent then and deleted."""
     size = totals.words + 1
 
     def follows(both: Column, kinds: dict[str, Column]) -> dict[str, Column]:
@@ -178,10 +180,13 @@ def _entries(pairs: DataFrame, totals) -> tuple[DataFrame, float]:
                  for c in SIDES}
         corrected = joined.select(_pair_key().alias("key"), value(F.log(share["toxic"]) - F.log(share["ordinary"]) - ratio("back") - ratio("p")),
                                   (F.col("ordinary") + F.col("toxic")).alias("n"))
-    return corrected.unionByName(
+    entries = stored(corrected.unionByName(
         by_word.select(F.col("w").bitwiseXOR(F.lit(FOLLOWS)).alias("key"), value(ratio("p") - unknown), "n")).unionByName(
         by_context.select(F.col("v").bitwiseXOR(F.lit(PRECEDES)).alias("key"), value(ratio("back")),
-                          (F.col("ordinary_n") + F.col("toxic_n")).alias("n"))), unknown
+                          (F.col("ordinary_n") + F.col("toxic_n")).alias("n"))), "entries")
+    for spent in (pairs, by_word, by_context):
+        discard(spent)
+    return entries, unknown
 
 
 def _least(entries: DataFrame, bound: int) -> int:
@@ -236,7 +241,6 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not totals.words or not totals.ordinary_kinds or not totals.toxic_kinds:
         return None
     entries, unknown = _entries(pairs, totals)
-    entries = stored(entries, "entries")
     least = _least(entries, HEAD)
     head = entries.filter(F.col("n") >= least).select("key", "value").toPandas()
     keys = head["key"].to_numpy(np.int64).view(np.uint64)

@@ -185,3 +185,14 @@ def test_collected_columns_follow_the_order_of_the_key(spark):
     w, p, n = toxicity._columns(spark.createDataFrame(rows, "w long, p double, n long"), "w", ["p", "n"])
     assert list(zip(w, p, n)) == sorted(rows)
     assert all(len(x) == 0 for x in toxicity._columns(spark.createDataFrame([], "w long, p double"), "w", ["p"]))
+
+
+def test_spent_tables_of_a_fit_are_deleted(spark, monkeypatch):
+    made, store = {}, toxicity.stored
+    monkeypatch.setattr(toxicity, "stored", lambda df, name: made.setdefault(name, store(df, name)))
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} " + "vile" * (i % 2)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert toxicity.fitted(docs, labels) is not None
+    left = lambda name: spark._jvm.org.apache.hadoop.fs.Path(made[name].checkpoint_path).getFileSystem(
+        spark._jsparkSession.sessionState().newHadoopConf()).exists(spark._jvm.org.apache.hadoop.fs.Path(made[name].checkpoint_path))
+    assert [left(n) for n in ("bigrams", "follows", "precedes", "entries")] == [False, False, False, True]
