@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from antecede.functions.words import question_tokens, stripped
 from antecede.operators.components import connected_components, label_all
@@ -16,6 +18,7 @@ SHINGLE = 5
 NEAR_DUPLICATE = 0.8
 BM25_K1, BM25_B = 1.2, 0.75
 TILE_ROWS = 2048
+OFTEN, COMMON = 16, 1 << 18  # sets that begin with a common shingle, and how many of these are told apart
 
 
 def word_list(text: Column) -> Column:
@@ -44,22 +47,57 @@ def exact_links(records: DataFrame, key: str, fields: Sequence[str]) -> DataFram
     return links
 
 
-def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """Each set's rarest shingles: two sets as alike as ``threshold`` share one of them."""
-    each = sets.select("id", "size", F.explode("shingles").alias("h"))
-    counts = each.groupBy("h").agg(F.count("*").alias("df"))
-    ranked = each.join(counts, "h").groupBy("id", "size").agg(
-        F.sort_array(F.collect_list(F.struct("df", "h"))).alias("ranked"))
+def _reach(size: Column, threshold: float) -> Column:
+    """How many shingles of a set, in one order of all shingles, are sure to hold one of any set as alike as ``threshold``."""
     # Guard the ceiling against binary noise: 0.8 * 5 must stay 4.
-    reach = F.col("size") - F.ceil(F.round(F.lit(threshold) * F.col("size"), 6)) + 1
-    return ranked.select(
-        "id", "size", F.explode(F.slice("ranked", F.lit(1), reach.cast("int"))).alias("r")
-    ).filter("r.df > 1").select("id", "size", F.col("r.h").alias("h"))
+    return size - F.ceil(F.round(F.lit(threshold) * size, 6)) + 1
+
+
+def _common(sets: DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many sets begin with, ascending, and how many do: the ``COMMON`` commonest at most."""
+    first = F.slice("shingles", F.lit(1), _reach(F.col("size"), threshold).cast("int"))
+    held = sets.select(F.explode(first).alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
+    rows = held.orderBy(F.desc("n"), "h").limit(COMMON).toPandas().sort_values("h")
+    return rows["h"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+
+
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(h, id, size, first): each set's first shingles, those that several sets begin with, and the first set of each.
+
+    Two sets as alike as ``threshold`` share one of them, whatever order all sets use. Here the order is by hash, with the
+    common shingles last by number; so shingles are neither counted nor sorted by shuffling all of them."""
+    common, number = _common(sets, threshold)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                h, size = batch.column("shingles").flatten().to_numpy(), batch.column("size").to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(len(size)), size)
+                if len(common):
+                    place = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    order = np.lexsort((np.where(common[place] == h, number[place], 0), row))  # by hash already
+                else:
+                    order = np.arange(len(h))
+                rank = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+                reach = size - np.ceil(np.round(threshold * size, 6)).astype(np.int64) + 1
+                taken = order[rank < reach[row]]
+                of = pa.array(row[taken])
+                yield pa.RecordBatch.from_arrays([pa.array(h[taken]), batch.column("id").take(of), batch.column("size").take(of)],
+                                                 names=["h", "id", "size"])
+
+    schema = StructType([StructField("h", LongType()), sets.schema["id"], sets.schema["size"]])
+    each = sets.select("id", "size", "shingles").mapInArrow(begin, schema)
+    same = Window.partitionBy("h")
+    return each.withColumns({"n": F.count("*").over(same), "first": F.min(F.struct("id", "size")).over(same)}).filter("n > 1").drop("n")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The candidate pairs whose shingle sets are as alike as the threshold."""
-    side = lambda n: sets.select(F.col("id").alias(n), F.col("shingles").alias(f"s{n}"))
+    pairs = checkpointed(pairs)
+    # Only sets of a pair move; the pairs' table is small enough to broadcast unless copies are very many.
+    side = lambda n: sets.join(pairs.select(F.col(n).alias("id")), "id", "left_semi").select(
+        F.col("id").alias(n), F.col("shingles").alias(f"s{n}"))
     both = F.size(F.array_intersect("sa", "sb"))
     alike = both / (F.size("sa") + F.size("sb") - both)
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(alike >= threshold).select("a", "b")
@@ -72,7 +110,8 @@ def near_duplicate_links(records: DataFrame, key: str, text: str,
     Records with equal shingle sets hang on their first one. The rest are compared in two
     rounds over shared rare shingles. Round one compares each set with the first set of its
     shingle, which links the bulk of a large group of near copies. Round two compares only
-    sets still in different components, since no further link inside one could matter."""
+    sets still in different components, since no further link inside one could matter, and
+    of those only pairs that share enough of their rare shingles to be able to link."""
     # Short texts leave by their word count: a filter on the shingles would be pushed below
     # the projection and compute them twice.
     shingled = checkpointed(
@@ -82,28 +121,29 @@ def near_duplicate_links(records: DataFrame, key: str, text: str,
         .withColumn("size", F.size("shingles"))
         .withColumn("digest", F.sha2(F.array_join("shingles", ","), 256)))
     leads = shingled.groupBy("digest").agg(F.min("id").alias("a"))
-    copies = shingled.join(leads, "digest").filter("a <> id").select("a", F.col("id").alias("b"))
-    sets = shingled.join(leads.select(F.col("a").alias("id")), "id", "left_semi").select(
-        "id", "size", "shingles")
+    copies = checkpointed(shingled.select("id", "digest").join(leads, "digest").filter("a <> id").select("a", F.col("id").alias("b")))
+    sets = shingled.join(copies.select(F.col("b").alias("id")), "id", "left_anti").select("id", "size", "shingles")
     prefixes = checkpointed(_prefixes(sets, threshold))
     fits = (F.col("size") >= F.lit(threshold) * F.col("size2")) & (
         F.col("size2") >= F.lit(threshold) * F.col("size"))
 
-    first = prefixes.groupBy("h").agg(F.min(F.struct("id", "size")).alias("f")).select(
-        "h", F.col("f.id").alias("a"), F.col("f.size").alias("size2"))
-    starred = prefixes.join(first, "h").filter(F.col("id") != F.col("a")).filter(fits).select(
-        "a", F.col("id").alias("b")).distinct()
+    starred = prefixes.select("id", "size", F.col("first.id").alias("a"), F.col("first.size").alias("size2")).filter(
+        F.col("id") != F.col("a")).filter(fits).select("a", F.col("id").alias("b")).distinct()
     star_links = checkpointed(_verified(starred, sets, threshold))
 
-    placed = checkpointed(label_all(prefixes, connected_components(star_links), "id"))
+    placed = checkpointed(label_all(prefixes.drop("first"), connected_components(star_links), "id"))
     # Shingles whose sets are all in one component already have nothing left to link.
     open_shingles = placed.groupBy("h").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("h")
     left = placed.join(open_shingles, "h", "left_semi")
     other = left.select("h", F.col("id").alias("b"), F.col("size").alias("size2"),
                         F.col("component").alias("component2"))
-    across = left.join(other, "h").filter("component <> component2 AND id < b").filter(fits).select(
-        F.col("id").alias("a"), "b").distinct()
+    # All that two sets share up to where one's first shingles end is among the shingles met; the rest of that one is what else can be shared.
+    met = left.join(other, "h").filter("component <> component2 AND id < b").filter(fits).groupBy(
+        F.col("id").alias("a"), "b", "size", "size2").agg(F.count("*").alias("met"))
+    rest = lambda c: F.col(c) - _reach(F.col(c), threshold)
+    needed = (F.col("size") + F.col("size2")) * (threshold / (1 + threshold)) - 1e-6
+    across = met.filter(F.col("met") + F.greatest(rest("size"), rest("size2")) >= needed).select("a", "b")
     return copies.unionByName(star_links).unionByName(_verified(across, sets, threshold))
 
 
