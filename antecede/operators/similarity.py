@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from antecede.functions.words import question_tokens, stripped
 from antecede.operators.components import connected_components, label_all
@@ -18,6 +19,8 @@ SHINGLE = 5
 NEAR_DUPLICATE = 0.8
 BM25_K1, BM25_B = 1.2, 0.75
 TILE_ROWS = 2048
+ASKED = 1 << 20  # terms of all questions that every task may hold
+POSTINGS = 1 << 20  # questions of a batch's postings that a task adds up at once
 OFTEN, COMMON = 16, 1 << 18  # sets that begin with a common shingle, and how many of these are told apart
 
 
@@ -164,17 +167,78 @@ def bm25_scores(docs: DataFrame, questions: DataFrame) -> DataFrame:
     once, with their number in ``copies``; its score is that of each of them."""
     copies = F.col("copies") if "copies" in docs.columns else F.lit(1)
     tokens = checkpointed(docs.select("node", copies.cast("long").alias("copies"), question_tokens(F.col("text")).alias("tokens")))
-    totals = tokens.agg(F.sum("copies").alias("n"), (F.sum(F.size("tokens") * F.col("copies")) / F.sum("copies")).alias("avg_len"))
+    asked = checkpointed(questions.select("question_id", F.explode(F.array_distinct(question_tokens(F.col("question")))).alias("term")))
+    repeated = tokens.groupBy("node").count().filter("count > 1")
+    if asked.limit(ASKED + 1).count() > ASKED or not repeated.isEmpty():
+        return _joined_scores(tokens, asked)
+    return _scores_in_place(tokens, asked)
+
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def _totals(tokens: DataFrame) -> DataFrame:
+    return tokens.agg(F.sum("copies").alias("n"), (F.sum(F.size("tokens") * F.col("copies")) / F.sum("copies")).alias("avg_len"))
+
+
+def _scores_in_place(tokens: DataFrame, asked: DataFrame) -> DataFrame:
+    """Scores of nodes that stand once: each is scored where its tokens lie, so no task holds more than a batch, however many
+    nodes there are. The asked terms, ``ASKED`` of all questions together at most, go to every task."""
+    n, avg_len = _totals(tokens).first()
+    df = tokens.select("copies", F.explode(F.array_distinct("tokens")).alias("term")).join(
+        F.broadcast(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("copies").alias("df"))
+    held = asked.join(df.select("term", _idf(F.lit(n), F.col("df")).alias("idf")), "term").orderBy("term", "question_id").toArrow()
+    question = held.column("question_id").combine_chunks().dictionary_encode(null_encoding="encode")
+    term = held.column("term").combine_chunks().dictionary_encode()
+    idf, code = held.column("idf").to_numpy(), term.indices.to_numpy()
+    terms, start = term.dictionary, np.searchsorted(code, np.arange(len(term.dictionary) + 1))
+    questions, asked_by = question.dictionary, question.indices.to_numpy().astype(np.int64)
+    schema = StructType([asked.schema["question_id"], tokens.schema["node"], StructField("score", DoubleType())])
+    k1, b, most = BM25_K1, BM25_B, POSTINGS
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            length = np.diff(lists.offsets.to_numpy())
+            at = pc.index_in(lists.flatten(), value_set=terms).fill_null(-1).to_numpy()
+            row = np.repeat(np.arange(len(length)), length)[at >= 0]
+            key, tf = np.unique(row * max(len(terms), 1) + at[at >= 0], return_counts=True)
+            row, at = np.divmod(key, max(len(terms), 1))
+            damp = k1 * (1 - b + b * length[row] / avg_len) if len(row) else tf
+            weight = idf[start[at]] * tf * (k1 + 1) / (tf + damp)
+            width = start[at + 1] - start[at]
+            done = np.cumsum(width)  # questions met up to each posting
+            ends = np.flatnonzero(np.diff(row, append=-1)) + 1  # a node's postings stay together
+            first = 0
+            while first < len(row):
+                base = done[first - 1] if first else 0
+                fit = ends[(ends > first) & (done[ends - 1] - base <= most)]
+                last = fit[-1] if len(fit) else ends[ends > first][0]
+                w = width[first:last]
+                place = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(start[at[first:last]], w)
+                pair, of = np.unique(np.repeat(row[first:last], w) * len(questions) + asked_by[place], return_inverse=True)
+                total = np.bincount(of, np.repeat(weight[first:last], w))
+                node, q = np.divmod(pair, len(questions))
+                yield pa.RecordBatch.from_arrays([questions.take(pa.array(q)), batch.column("node").take(pa.array(node)), pa.array(total)],
+                                                 names=["question_id", "node", "score"])
+                first = last
+
+    found = tokens.select("node", "tokens").mapInArrow(score, schema)
+    return found.withColumn("score", F.round("score", 6)).filter("score > 0")
+
+
+def _joined_scores(tokens: DataFrame, asked: DataFrame) -> DataFrame:
+    """Scores where a node has several rows, or more terms are asked than every task can hold."""
+    totals = _totals(tokens)
     n, avg_len = totals.select("n").scalar(), totals.select("avg_len").scalar()
-    asked = questions.select("question_id", F.explode(F.array_distinct(
-        question_tokens(F.col("question")))).alias("term"))
     postings = (
         tokens.select("node", "copies", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
         .join(asked.select("term").distinct(), "term", "left_semi")
         .groupBy("term", "node", "copies", "length").agg(F.count("*").alias("tf"))
     )
     df = postings.groupBy("term").agg(F.sum("copies").alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = _idf(n, F.col("df"))
     damp = BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / avg_len)
     weight = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + damp)
     weighted = postings.join(df, "term").select("term", "node", weight.alias("w"))
