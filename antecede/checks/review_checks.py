@@ -251,7 +251,7 @@ def fill_rates(spark, folder):
     WHERE cause_id NOT IN (SELECT effect_id FROM claims)"""))
 def coverage_gaps(spark, folder):
     claims = claims_of(spark, folder)
-    ids = lambda c: claims.select(F.col(c).alias("id")).distinct()
+    ids = lambda c: claims.select(F.col(c).alias("id"))
     return R.missing_ids(ids("cause_id"), ids("effect_id"), "id")
 
 

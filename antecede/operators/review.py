@@ -185,11 +185,15 @@ def fill_rates(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def missing_ids(expected: DataFrame, given: DataFrame, key: str) -> DataFrame:
-    """Ids on one side only: no rows means the two sets are equal."""
-    return (
-        expected.select(key).join(given.select(key), key, "left_anti").withColumn("problem", F.lit("missing"))
-        .unionByName(given.select(key).join(expected.select(key), key, "left_anti")
-                     .withColumn("problem", F.lit("unexpected"))))
+    """Ids on one side only, each once: no rows means the two sets are equal. A null id equals none.
+
+    Both sides are counted in one pass; an anti join each way would keep and sort the distinct ids of both in one task."""
+    side = lambda df, own: df.select(key, F.lit(own).alias("ours"), F.lit(not own).alias("theirs"))
+    seen = side(expected, True).unionByName(side(given, False)).groupBy(key).agg(
+        F.bool_or("ours").alias("ours"), F.bool_or("theirs").alias("theirs"))
+    alone = lambda own, other, name: F.when(F.col(own) & (~F.col(other) | F.col(key).isNull()), F.lit(name))
+    return seen.filter(~F.col("ours") | ~F.col("theirs") | F.col(key).isNull()).select(key, F.explode(F.array_compact(F.array(
+        alone("ours", "theirs", "missing"), alone("theirs", "ours", "unexpected")))).alias("problem"))
 
 
 def branching(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
