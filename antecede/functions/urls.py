@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 DEAD_STATUSES = (404, 410, 451)
 BLOCKED_STATUSES = (401, 403)
 RETRYABLE_STATUSES = (408, 425, 429)
+# A URL that is its own key: nothing to lower, drop or add.
+PLAIN_URL = r"^https?://[a-z0-9.-]+/[^?#]*(\?[^#]+)?\z"
 
 
 def authority(url: Column) -> Column:
@@ -17,7 +19,12 @@ def authority(url: Column) -> Column:
 def normalize_url(url: Column) -> Column:
     """One key per page: scheme and host in lower case, no default port, no fragment, ``/``
     for an empty path; query and user part kept. Anything but http(s) and any bad port
-    gives an empty key."""
+    gives an empty key. Most URLs are their own key, which one match tells; only others are taken apart."""
+    return F.when(F.trim(url).rlike(PLAIN_URL), F.trim(url)).otherwise(_rebuilt(url))
+
+
+def _rebuilt(url: Column) -> Column:
+    """The key of any URL from its parts."""
     raw = F.trim(url)
     scheme = F.lower(F.regexp_extract(raw, r"(?i)^(https?)://", 1))
     whole = authority(url)
